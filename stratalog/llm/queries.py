@@ -6,14 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.common import table
 from stratalog.llm.exact_dedup import exact_dedup
+from stratalog.llm.packing import pack_documents
+from stratalog.llm.token_file import read_token_files, write_token_files
+
+try:
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+    PIECES = public_tokenizers.path("piece_bpe_32k.model")
+except ModuleNotFoundError:  # the vocabulary files are a parameter of the operators
+    TOKENIZER = PIECES = ""
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = write_token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+    return read_token_files(images).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_packing": op3_packing,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE = {
