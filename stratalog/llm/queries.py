@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.common import table
 from stratalog.llm.exact_dedup import exact_dedup
+from stratalog.llm.media import media_features
 from stratalog.llm.packing import pack_documents
+from stratalog.llm.pii import find_pii
 from stratalog.llm.token_file import read_token_files, write_token_files
 
 try:
@@ -26,6 +28,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = write_token_files(table(spark, sf_dir, "documents"), TOKENIZER)
     return read_token_files(images).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -34,6 +44,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_media": op4_media,
+    "op8_pii": op8_pii,
     "op9_token_files": op9_token_files,
 }
 
