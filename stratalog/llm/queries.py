@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratalog.llm.common import table
+from stratalog.llm.common import remainder, table
 from stratalog.llm.exact_dedup import exact_dedup
+from stratalog.llm.html_text import extract_text, page_model
+from stratalog.llm.language import fit_language, identify_language
 from stratalog.llm.media import media_features
 from stratalog.llm.packing import pack_documents
 from stratalog.llm.pii import find_pii
+from stratalog.llm.quality import fit_quality, score_quality
 from stratalog.llm.token_file import read_token_files, write_token_files
 
 try:
@@ -24,6 +28,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    found = identify_language(docs, fit_language(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -32,6 +43,16 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), page_model())
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    found = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -43,8 +64,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op6_html": op6_html,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_token_files": op9_token_files,
 }
