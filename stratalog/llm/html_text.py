@@ -150,6 +150,14 @@ def blocks(page: str) -> list[Block]:
 
 
 WIDTH = len(_TAGS) * 2 + len(_HINTS) + 17
+_TAG_AT = {t: k for k, t in enumerate(_TAGS)}
+_HINT_AT = {h: 2 * len(_TAGS) + k for k, h in enumerate(_HINTS)}
+
+
+@functools.lru_cache(20_000)
+def _columns(tags: frozenset[str], hints: frozenset[str], parent: str) -> list[int]:
+    """The columns of ancestors, hints and parent that are 1."""
+    return [_TAG_AT[t] for t in tags if t in _TAG_AT] + [len(_TAGS) + k for t, k in _TAG_AT.items() if t == parent] + [_HINT_AT[h] for h in hints]
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -158,15 +166,11 @@ def features(found: list[Block]) -> np.ndarray:
     base = len(_TAGS) * 2 + len(_HINTS)
     for k, b in enumerate(found):
         row = out[k]
-        for j, t in enumerate(_TAGS):
-            row[j] = t in b.tags
-            row[len(_TAGS) + j] = t == b.parent
-        for j, h in enumerate(_HINTS):
-            row[2 * len(_TAGS) + j] = h in b.hints
+        row[_columns(b.tags, b.hints, b.parent)] = 1
         n = len(b.text)
         words = b.text.count(" ") + 1
         row[base : base + 12] = (
-            1, min(n, 2000) / 400, n < 25, n >= 80, n >= 250, b.linked, words <= 3, b.text[-1] in ".!?…\"'”»:", sum(map(str.isdigit, b.text[:400])) / min(n, 400), bool(_WORDS.search(b.text)),
+            1, min(n, 2000) / 400, n < 25, n >= 80, n >= 250, b.linked, words <= 3, b.text[-1] in ".!?…\"'”»:", n < 100 and sum(map(str.isdigit, b.text)) / n, n < 300 and bool(_WORDS.search(b.text)),
             min(b.depth, 20) / 20, b.text[0] in "©|»›•",
         )
     links, sizes = out[:, base + 5], out[:, base + 3]
