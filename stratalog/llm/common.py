@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def small_batches(spark: SparkSession) -> None:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the strings of a column take about ``most`` bytes; a longer text stays whole, alone."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         if sizes.sum() <= most:
             if batch.num_rows:
                 yield batch
@@ -121,7 +122,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all strings and the offsets of each; null counts as empty."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and column.buffers()[2].size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

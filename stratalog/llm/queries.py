@@ -10,6 +10,7 @@ from stratalog.llm.exact_dedup import exact_dedup
 from stratalog.llm.html_text import extract_text, page_model
 from stratalog.llm.language import fit_language, identify_language
 from stratalog.llm.media import media_features
+from stratalog.llm.near_dedup import near_dedup
 from stratalog.llm.packing import pack_documents
 from stratalog.llm.pii import find_pii
 from stratalog.llm.quality import fit_quality, score_quality
@@ -43,6 +44,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), page_model())
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
+    "op5_near_dedup": op5_near_dedup,
     "op6_html": op6_html,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
