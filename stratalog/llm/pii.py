@@ -233,3 +233,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return common.map_text(rows, "text", kernel, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows with personal data in the text redacted and, where the text changed, its length set anew; null text stays null."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, lengths = batch.column(text_col).to_pylist(), batch.column(length_col).to_pylist()
+        for k, text in enumerate(texts):
+            spans = all_spans(text)[1] if text else []
+            if spans:
+                texts[k] = redact(text, spans)
+                lengths[k] = len(texts[k])
+        fresh = {text_col: pa.array(texts, pa.string()), length_col: pa.array(lengths, batch.schema.field(length_col).type)}
+        return pa.RecordBatch.from_arrays([fresh.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    return common.map_text(docs, text_col, kernel, docs.schema)
