@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, number = Packer(length, windows), TaskContext.get().partitionId() << 32
-        for piece in common.pieces(batches, "text", 1 << 20):
+        for piece in common.pieces(batches, "text", 3 << 20):
             all_ids, bounds = encoder(tokenizer).encode(piece.column("text"))
             for k, name in enumerate(piece.column("id").to_pylist()):
                 own = all_ids[bounds[k] : bounds[k + 1]]

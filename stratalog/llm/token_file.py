@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
             names.clear(), lengths.clear(), held.clear()
             return row
 
-        for piece in common.pieces(batches, "text", 1 << 20):
+        for piece in common.pieces(batches, "text", 3 << 20):
             ids, bounds = encoder(tokenizer).encode(piece.column("text"))
             names += piece.column("id").to_pylist()
             lengths.append(np.diff(bounds))

@@ -17,11 +17,13 @@ from tokenizers import Tokenizer
 
 END_ID = 2
 #: Words that a worker remembers; others are encoded anew in each batch.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 
 #: Words whose characters keep their meaning under NFC and have one lower-case form in every library.
 _PLAIN = regex.compile("[!-~¡-įĲ-ňŊ-ɏ]+")
 
+_SIGNS = ".,;:!?#$%&*|)"
+
 
 def _byte_letters() -> dict[int, str]:
     """The usual byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
@@ -40,40 +42,72 @@ class WordEncoder:
             spec = json.load(f)
         cut = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(cut[0]["pattern"]["Regex"])
-        self.letters = _byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
+        letters = _byte_letters()
+        self.wide = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 0x250)}
+        self.known_signs: dict[str, list[int]] = {}
+        #: Numbers of words; ids of word number k are pool[starts[k] : starts[k] + sizes[k]].
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.used = self.filled = 0
         self.memory_words = memory_words
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
+        core = word.rstrip(_SIGNS)
+        if core.isalpha():
+            if core.isascii():
+                out = [t.id for t in self.model.tokenize(core.lower())]
+            elif _PLAIN.fullmatch(core):
+                out = [t.id for t in self.model.tokenize(core.lower().translate(self.wide))]
+            else:
+                return self.whole.encode(word, add_special_tokens=False).ids
+            return out + self.signs(word[len(core) :]) if len(core) < len(word) else out
         if not _PLAIN.fullmatch(word) or "<|" in word:
-            return tuple(self.whole.encode(word, add_special_tokens=False).ids)
-        out: list[int] = []
-        for part in self.pattern.findall(word.lower()):
-            out += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return tuple(out)
+            return self.whole.encode(word, add_special_tokens=False).ids
+        return [t.id for part in self.pattern.findall(word.lower()) for t in self.model.tokenize(part.translate(self.wide))]
+
+    def signs(self, signs: str) -> list[int]:
+        """Ids of signs alone, which are one part of the pattern; remembered while short."""
+        got = self.known_signs.get(signs)
+        if got is None:
+            got = self.whole.encode(signs, add_special_tokens=False).ids
+            if len(signs) < 5:
+                self.known_signs[signs] = got
+        return got
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words. Words beyond the memory get numbers that hold until the next call."""
+        self.used = min(self.used, len(self.known))
+        self.filled = int(self.starts[self.used - 1] + self.sizes[self.used - 1]) if self.used else 0
+        out = list(map(self.known.get, words))
+        fresh = [k for k, n in enumerate(out) if n is None]
+        made = [self.word(words[k]) for k in fresh]
+        ids = np.fromiter((i for m in made for i in m), np.uint32)
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        while self.used + len(fresh) > len(self.starts):
+            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        first, last = self.used, self.used + len(fresh)
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.sizes[first:last] = sizes
+        self.starts[first:last] = self.filled + np.cumsum(sizes) - sizes
+        for n, k in enumerate(fresh, first):
+            out[k] = n
+            if n < self.memory_words:
+                self.known[words[k]] = n
+        self.used, self.filled = last, self.filled + len(ids)
+        return np.array(out, np.int64)
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by ``end_id``, and the bounds of the texts in them. Null counts as empty."""
         texts = pc.fill_null(texts, "")
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        index = np.asarray(words.indices)
-        ids: list[tuple[int, ...]] = []
-        known, room = self.known, self.memory_words - len(self.known)
-        for w in words.dictionary.to_pylist():
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                if room > 0:
-                    known[w] = got
-                    room -= 1
-            ids.append(got)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[index]
+        numbers = self._numbers(words.dictionary.to_pylist())
+        index = numbers[np.asarray(words.indices)]
+        each = self.sizes[index]
         ends = np.cumsum(each)
-        gather = pool[np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        gather = self.pool[np.repeat(self.starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
         bounds = np.append(0, ends)[offsets]
         out = np.insert(gather, bounds[1:], end_id)
