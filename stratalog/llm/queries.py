@@ -12,6 +12,7 @@ from stratalog.llm.language import fit_language, identify_language
 from stratalog.llm.media import media_features
 from stratalog.llm.near_dedup import near_dedup
 from stratalog.llm.packing import pack_documents
+from stratalog.llm.pieces import encode_texts
 from stratalog.llm.pii import find_pii
 from stratalog.llm.quality import fit_quality, score_quality
 from stratalog.llm.token_file import read_token_files, write_token_files
@@ -67,6 +68,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(images).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), PIECES, ids=False)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language": op2_language,
@@ -77,6 +82,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_token_files": op9_token_files,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE = {
