@@ -86,11 +86,12 @@ class Database:
             derived_too = r.facts.filter("NOT _base").join(ids, "_fid", "left_semi")
             if not derived_too.isEmpty():
                 r.replace(written(r_facts.select(*r.facts.columns)))
-            if self.reinsert == "invalidate" and r.pred.name in self.supports.closed:
+            # Only a change of a group that some rule closed over can take the ground from a conclusion.
+            if r.pred.name in self.supports.closed:
                 touched = r.with_ids(rows, True).select(F.lit(r.pred.name).alias("g_pred"), _group_key(r).alias("g_key")).distinct()
-                self.supports.drop_touched(touched)
-            if new is not None or self.reinsert == "invalidate":
-                self.supports.settle()
+                lost = self.reinsert == "invalidate" and self.supports.drop_touched(touched)
+                if lost or new is not None:
+                    self.supports.settle(lost)
         return rows.select(*r.names, fact_id(r.names).alias("fid"))
 
     def bind(self, pred: str, table: DataFrame, mapping: dict[str, str | Column] | None = None) -> None:
@@ -219,7 +220,7 @@ class Database:
         if made.isEmpty():
             return None
         self.supports.add(made.select(F.lit(head.pred.name).alias("pred"), "fid", F.lit(rule.name).alias("rule"), "premises"), head)
-        if new is not None:
+        if new is not None and head.pred.name in self.supports.closed:
             self.supports.settle()
         return new
 

@@ -47,20 +47,23 @@ class Supports:
             out = one if out is None else out.union(one)
         return out
 
-    def drop_touched(self, touched: DataFrame) -> None:
+    def drop_touched(self, touched: DataFrame) -> bool:
         """Drops supports on groups (g_pred, g_key) that an insertion touched, changed or not."""
         on = F.col("p.kind") == "group"
         cited = self.rows.select("*", F.explode("premises").alias("p")).filter(on)
-        bad = cited.join(touched, (F.col("p.pred") == F.col("g_pred")) & (F.col("p.key") == F.col("g_key")), "left_semi").select("pred", "fid", "rule", "premises")
+        bad = written(cited.join(touched, (F.col("p.pred") == F.col("g_pred")) & (F.col("p.key") == F.col("g_key")), "left_semi").select("pred", "fid", "rule", "premises"))
+        if bad.isEmpty():
+            return False
         self.rows = written(self.rows.subtract(bad))
+        return True
 
-    def settle(self, most: int = 1000) -> bool:
-        """Retracts until every fact stands; tells whether anything fell."""
-        fell = False
+    def settle(self, lost: bool = False, most: int = 1000) -> None:
+        """Retracts until every fact stands; ``lost`` tells that supports were dropped before."""
         for _ in range(most):
-            if not self._step():
-                return self._unfounded() or fell
-            fell = True
+            fell, removed = self._step()
+            lost |= fell
+            if not removed and (not lost or not self._unfounded()):
+                return
         raise RuntimeError("retraction did not end")
 
     def _bad(self) -> DataFrame:
@@ -73,11 +76,13 @@ class Supports:
             bad = bad.union(stale.select("pred", "fid", "rule", "premises"))
         return bad
 
-    def _step(self) -> bool:
+    def _step(self) -> tuple[bool, bool]:
+        """Whether supports were lost, and whether facts were removed."""
         bad = written(self._bad().distinct())
-        if not bad.isEmpty():
+        lost = not bad.isEmpty()
+        if lost:
             self.rows = written(self.rows.subtract(bad))
-        return self._remove(self.live().filter("NOT f_base").join(self.rows.select(F.col("pred").alias("f_pred"), F.col("fid").alias("f_fid")), ["f_pred", "f_fid"], "left_anti"))
+        return lost, self._remove(self.live().filter("NOT f_base").join(self.rows.select(F.col("pred").alias("f_pred"), F.col("fid").alias("f_fid")), ["f_pred", "f_fid"], "left_anti"))
 
     def _remove(self, dead: DataFrame) -> bool:
         dead = written(dead.select("f_pred", "f_fid"))
@@ -107,7 +112,7 @@ class Supports:
             if more.isEmpty():
                 break
             founded = written(founded.union(more))
-        return self._remove(live.join(founded, ["f_pred", "f_fid"], "left_anti")) and (self._step() or True)
+        return self._remove(live.join(founded, ["f_pred", "f_fid"], "left_anti"))
 
 
 def _group_key(r: Relation):
