@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,14 +91,14 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, value long")
 
 
-def encode_words(words: DataFrame, path: str, longest: int = LONGEST) -> DataFrame:
-    """(word, n) to (word, n, ids). Words are distinct and not empty."""
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, n) to (word, n, ids). Words are distinct, not empty, and grouped by word, so that the lattice need not move."""
     spark = words.sparkSession
     sp = processor(path)
     pieces = piece_table(spark, path)
     most = max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
     first_byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
-    starts = words.filter(F.char_length("word") <= longest).select("word", "n", F.char_length("word").alias("size")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("start"))
+    starts = words.select("word", "n", F.char_length("word").alias("size")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("start"))
     spans = starts.select("*", F.explode(F.expr(f"sequence(1, least({most}, size - start))")).alias("length")).select("word", "n", "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
     edges = spans.join(F.broadcast(pieces), "piece", "left").filter("value IS NOT NULL OR length = 1")
     lattice = edges.groupBy("word", "n").agg(F.collect_list(F.struct((F.col("start") * 64 + F.col("length")).alias("k"), F.col("value").alias("v"))).alias("e"))
@@ -110,24 +111,16 @@ def encode_words(words: DataFrame, path: str, longest: int = LONGEST) -> DataFra
     as_bytes = f"transform(sequence(1, octet_length(substring(word, x + 1, 1))), k -> CAST(conv(substring(hex(encode(substring(word, x + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + {first_byte})"
     value = "try_element_at(m, x * 64 + b[i + 1] - x)"
     ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, i) -> IF({value} IS NOT NULL, array(CAST({value} & 65535 AS int)), {as_bytes})))"
-    done = folded.select("word", "n", F.expr(ids).alias("ids"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sp = processor(path)
-            head = len(sp.encode("\n"))
-            out = []
-            for w in batch.column("word").to_pylist():
-                # The library puts a mark before a text: words that begin with one lend theirs, for others it is taken off.
-                if w.startswith(MARK):
-                    out.append(sp.encode(w[1:]))
-                else:
-                    out.append(sp.encode("\n" + w)[head:])
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "n": batch.column("n"), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    # Longer words, whose fold would take time with the square of their length, are given to the library.
-    long = words.filter(F.char_length("word") > longest).mapInArrow(whole, "word string, n long, ids array<int>")
-    return done.union(long)
+    return folded.select("word", "n", F.expr(ids).alias("ids"))
+
+
+def whole_word(word: str, sp: sentencepiece.SentencePieceProcessor) -> list[int]:
+    """Ids of a long word, whose fold would take time with the square of its length, by the library.
+
+    The library puts a mark before a text: a word that begins with one lends its own, for others a line feed is put before and
+    its ids are taken off.
+    """
+    return sp.encode(word[1:]) if word.startswith(MARK) else sp.encode("\n" + word)[len(sp.encode("\n")) :]
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, frequent: int = FREQUENT) -> DataFrame:
@@ -148,7 +141,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for piece in common.pieces(batches, "text"):
             found, _ = units(common.texts_of(piece, "text"))
             for w, n in zip(found.dictionary.to_pylist(), np.bincount(np.asarray(found.indices), minlength=len(found.dictionary)).tolist(), strict=True):
-                held[w] = held.get(w, 0) + n
+                if len(w) <= LONGEST:
+                    held[w] = held.get(w, 0) + n
             if len(held) > HELD:
                 yield out()
                 held.clear()
@@ -174,8 +168,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for piece in common.pieces(batches, "text"):
             found, bounds = units(common.texts_of(piece, "text"))
             known, _ = shared.value.find(found.dictionary)
-            missing = np.flatnonzero(~known)
-            if len(missing):
+            known |= np.asarray(pc.greater(pc.utf8_length(found.dictionary), LONGEST))
+            if not known.all():
                 index = np.asarray(found.indices)
                 group = np.repeat(np.asarray(piece.column("k")), np.diff(bounds))
                 hit = ~known[index]
@@ -193,7 +187,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         out = []
         for batch in docs.select(["doc_id", "text"]).combine_chunks().to_batches():
             for piece in common.pieces(iter([batch]), "text"):
-                out.append(_encoded(piece, shared.value, own, strays, texts, ids))
+                out.append(_encoded(piece, shared.value, own, strays, path, texts, ids))
         return pa.Table.from_batches(out, schema=_schema(ids))
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
@@ -210,7 +204,7 @@ def _schema(ids: bool) -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), *[("ids", pa.list_(pa.int32()))] * ids])
 
 
-def _encoded(piece: pa.RecordBatch, table: WordTable, own: WordTable, strays: dict[str, list[int]], pieces: list[bytes], ids: bool) -> pa.RecordBatch:
+def _encoded(piece: pa.RecordBatch, table: WordTable, own: WordTable, strays: dict[str, list[int]], path: str, pieces: list[bytes], ids: bool) -> pa.RecordBatch:
     texts = common.texts_of(piece, "text")
     found, bounds = units(texts)
     words = found.dictionary
@@ -224,7 +218,8 @@ def _encoded(piece: pa.RecordBatch, table: WordTable, own: WordTable, strays: di
         kept, place = own.find(words.take(pa.array(rest)))
         sizes[rest[kept]], starts[rest[kept]] = own.sizes[place[kept]], base + own.starts[place[kept]]
         for k in rest[~kept].tolist():
-            got = strays[words[k].as_py()]
+            word = words[k].as_py()
+            got = whole_word(word, processor(path)) if len(word) > LONGEST else strays[word]
             sizes[k], starts[k] = len(got), base + len(own.pool) + len(extra)
             extra += got
     index = np.asarray(found.indices)
