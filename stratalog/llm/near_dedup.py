@@ -4,10 +4,13 @@
 2. A class has a signature of 64 coordinates. It is posted under each coordinate-value pair. Pairs that only one class has
    are dropped. The rest of a class's list is ordered from rare to common values, and only the prefix is kept that two
    classes with ``MATCHES`` equal coordinates must share: COORDS - MATCHES + 1 places, of which unshared values take the first.
-3. Each posting list first links its classes with its smallest one (its hub), not with each other. Pairs with at least
+3. Each posting list first links its classes with one of them (its hub), not with each other. The hub is the most central class:
+   the one whose coordinates are shared most, as the text that the others were copied from. Pairs with at least
    ``MATCHES`` equal coordinates are confirmed on their full sets, and confirmed links joined to components.
-4. Lists whose classes now lie in one component need nothing more. From all others, every pair of classes in different
-   components is taken, counted and confirmed in the same way, so no pair is lost; groups of copies never give all pairs.
+4. Lists whose classes now lie in one component need nothing more. The classes of all others are dealt into blocks of bounded
+   size, by component or, for small components, by the hub they share. Two blocks meet if some list has classes of different
+   components in them; their full sets are then intersected by matrix products, and of the links found only those that join
+   components leave the task. So no pair is lost, and groups of copies or near misses never give a row for each pair.
 
 A pair at similarity 0.75 has 48 equal coordinates of 64 on average; it falls below 34 with a probability of about 3e-5.
 """
@@ -15,6 +18,7 @@ A pair at similarity 0.75 has 48 equal coordinates of 64 on average; it falls be
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from stratalog.llm import common
 
 WORDS, PERCENT, COORDS, MATCHES = 5, 75, 64, 34
+#: Classes in a block.
+BLOCK = 128
 
 _RNG = np.random.default_rng(64)
 _PLACES = _RNG.integers(1, 2**63, WORDS + 1, dtype=np.uint64) | np.uint64(1)
@@ -49,7 +55,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out[place] = every[place + at]
     for d in np.flatnonzero((counts > 0) & (counts < WORDS)).tolist():
         own = h[bounds[d] : bounds[d + 1]]
-        out[ends[d] - 1] = (own * _PLACES[: len(own)]).sum() + _PLACES[WORDS] * np.uint64(len(own))
+        out[ends[d] - 1] = np.append(own * _PLACES[: len(own)], _PLACES[WORDS : WORDS + 1] * np.uint64(len(own))).sum()
     out = common.mix(out)
     starts = ends - rows
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -127,6 +133,88 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _linked(block_a: dict, block_b: dict, percent: int, cache: dict) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks that join components, by exact intersections."""
+
+    def loaded(block: dict) -> tuple:
+        if block["block"] not in cache:
+            while len(cache) > 3:
+                cache.pop(next(iter(cache)))
+            sets, bounds = shingle_sets(pa.array([m["text"] for m in block["members"]], pa.string()))
+            cache[block["block"]] = sets, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.diff(bounds), [m["rep"] for m in block["members"]], [m["component"] for m in block["members"]]
+        return cache[block["block"]]
+
+    (sa, ra, na, ids_a, ca), (sb, rb, nb, ids_b, cb) = loaded(block_a), loaded(block_b)
+    common_ = np.intersect1d(sa, sb)
+    same = np.zeros((len(na), len(nb)))
+    for first in range(0, len(common_), 4096):
+        part = common_[first : first + 4096]
+
+        def matrix(sets: np.ndarray, owner: np.ndarray, n: int, part: np.ndarray = part) -> np.ndarray:
+            at = np.minimum(np.searchsorted(part, sets), len(part) - 1)
+            hit = part[at] == sets
+            out = np.zeros((n, len(part)), np.float32)
+            out[owner[hit], at[hit]] = 1
+            return out
+
+        same += matrix(sa, ra, len(na)) @ matrix(sb, rb, len(nb)).T
+    union = na[:, None] + nb[None, :] - same
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero((same > 0) & (100 * same >= percent * union)), strict=True):
+        x, y = root(ca[i]), root(cb[j])
+        if x != y:
+            up[x] = y
+            out.append((ids_a[i], ids_b[j]))
+    return out
+
+
+def _between(prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
+    """Links (a, b) between classes of different components that share a list."""
+    spark = rows.sparkSession
+    placed = prefixes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    placed = common.written(placed, "placed")
+    mixed = common.written(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
+    among = common.written(placed.join(mixed, "key").join(hub_of, "key").select("rep", "key", "component", "hub", "hub_shared"), "among")
+    # A class belongs to its component's blocks if that is large, else to those of its most central hub.
+    members = common.written(among.groupBy("rep", "component").agg(F.max(F.struct("hub_shared", "hub")).alias("h")).select("rep", "component", F.col("h.hub").alias("anchor")), "members")
+    large = members.groupBy("component").agg(F.count("*").alias("classes")).filter(F.col("classes") * 2 >= size)
+    pool = common.written(members.join(large, "component", "left").withColumn("pool", F.when(F.col("classes").isNotNull(), F.concat(F.lit("c"), "component")).otherwise(F.concat(F.lit("h"), "anchor"))), "pool")
+    counts = pool.groupBy("pool").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    dealt_by = F.when(F.col("classes").isNotNull(), F.col("rep")).otherwise(F.col("component"))
+    blocks = common.written(pool.join(counts, "pool").select("rep", "component", F.concat_ws(":", "pool", F.pmod(F.xxhash64(dealt_by), F.col("blocks"))).alias("block")), "block-of")
+    listed = among.select("rep", "key").join(blocks, "rep").groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    listed = common.written(listed, "listed")
+    side = lambda x: listed.select("key", F.col("block").alias(f"block_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+    met = side("a").join(side("b"), "key").filter("block_a <= block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)").select("block_a", "block_b").distinct()
+    met = common.written(met, "met")
+    texts = rows.filter(F.col("id").isNotNull()).select(F.col("id").alias("rep"), "text")
+    filled = blocks.join(texts, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "text")).alias("members"))
+    filled = common.written(filled, "blocks")
+    half = lambda x: filled.select(F.col("block").alias(f"block_{x}"), F.struct("block", "members").alias(x))
+    both = met.join(half("a"), "block_a").join(half("b"), "block_b").select("a", "b")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            found = [link for k in range(batch.num_rows) for link in _linked(batch.column("a")[k].as_py(), batch.column("b")[k].as_py(), percent, cache)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, "4")  # a row holds two blocks
+    try:
+        return common.written(both.mapInArrow(kernel, "a long, b long"), "links")
+    finally:
+        conf.set(key, before)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """One row per row: ``id_col``, n_shingles, component_id, kept.
 
@@ -142,11 +230,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Inverted lists: a key is a coordinate and its value.
     posted = classes.select("rep", "n", F.posexplode("signature").alias("coord", "value"))
     posted = posted.select("rep", "n", (F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"))
-    lists = common.written(posted.groupBy("key").agg(F.count("*").alias("df"), F.min("rep").alias("hub")).filter("df > 1"), "lists")
-    own = posted.join(lists, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key", "hub"))).alias("list"))
+    lists = common.written(posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
+    own = posted.join(lists, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("list"), F.sum("df").alias("shared"))
     # Unshared values come first in the order, so they take places of the prefix.
     own = own.filter(F.size("list") >= matches).withColumn("list", F.expr(f"slice(list, 1, greatest(0, {COORDS - matches + 1} - ({COORDS} - size(list))))"))
-    prefixes = common.written(own.select("rep", "n", F.explode("list").alias("p")).select("rep", "n", "p.key", "p.hub"), "prefixes")
+    prefixes = common.written(own.select("rep", "n", "shared", F.explode("list").alias("p")).select("rep", "n", "shared", "p.key"), "prefixes")
+    central = prefixes.groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.shared").alias("hub_shared"))
+    hub_of = common.written(central, "hubs")
 
     def counted(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with at least ``matches`` equal coordinates and fitting sizes."""
@@ -155,24 +245,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return common.written(found.select("a", "b", equal.alias("matches")).filter(F.col("matches") >= matches), "pairs").filter(F.col("matches") >= matches)
 
-    hubs = counted(prefixes.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    hubs = counted(prefixes.join(hub_of, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     links = _confirmed(hubs.select("a", "b"), rows, percent)
     labels = components(links)
-    # What is left: pairs of different components in one list.
-    placed = prefixes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = common.written(placed.select("rep", "n", "key", "component"), "placed")
-    mixed = common.written(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
-    among = common.written(placed.join(mixed, "key"), "among")
-    parts = common.written(among.groupBy("key", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")), "parts")
-    x, y = (parts.select("key", F.col("component").alias(f"c{s}"), F.col("least").alias(f"least_{s}"), F.col("most").alias(f"most_{s}")) for s in "ab")
-    fit = f"100 * most_a >= {percent} * least_b AND 100 * most_b >= {percent} * least_a"
-    met = x.join(y, "key").filter(f"ca < cb AND {fit}").select("key", "ca", "cb")
-    a, b = (among.select("key", F.col("component").alias(f"c{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    crossed = met.join(a, ["key", "ca"]).join(b, ["key", "cb"]).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    tried = hubs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    fresh = crossed.join(tried, ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti").join(tried, ((F.col("b") == F.col("x")) & (F.col("a") == F.col("y"))), "left_anti")
-    more = _confirmed(counted(fresh).select("a", "b"), rows, percent)
-    labels = components(links.union(more))
+    labels = components(links.union(_between(prefixes, hub_of, labels, rows, percent)))
     of_class = common.written(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "members")
     found = prepared.select("id", "n", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")
