@@ -1,7 +1,7 @@
 """A corpus pipeline: quality filter, exact and near deduplication, redaction of personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Null
-texts count as empty. Stages never read what an earlier one dropped.
+texts count as empty. Stages never read what an earlier one dropped. They decide on rows, as ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -20,12 +20,6 @@ from stratalog.llm.queries import TOKENIZER
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents whose id is kept. The ids are sorted and shuffled with the texts; neither side is broadcast by force."""
-    ids = decided.filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is under 0.3. The model learns from labelled documents of this stage's input."""
     model = fit_quality(docs, common.table(spark, sf_dir, "labels"), common.remainder("doc_id", 5) != 0)
@@ -34,12 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _staying(docs, exact_dedup(docs))
+    return exact_dedup(docs, carry=COLUMNS).filter("kept").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates."""
-    return _staying(docs, near_dedup(docs))
+    """Keeps one row of each group of near duplicates, that of the smallest id; null ids come last."""
+    # The key is written with the row, so that each scan reads the same. It is sorted and shuffled with the texts.
+    keyed = common.written(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "keyed")
+    groups = near_dedup(keyed, id_col="row").select("row", "component_id").join(keyed.select("row", "doc_id"), "row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return keyed.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,28 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in packed} == apart
     assert all(x["length"] == len(x["ids"]) for x in packed)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """The dedup stages decide on rows: none is lost for its null id, none comes back for sharing an id with one that stays."""
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    alone, twice, null_twice, one, two, long = (text() for _ in range(6))
+    close = lambda t: t + " end"
+    rows = [(None, alone), (1, twice), (1, twice), (1, twice), (None, null_twice), (None, null_twice), (2, one), (3, two), (2, two + " "), (3, one + "  "), (4, long), (4, close(long)), (None, close(close(long))), (None, None), (5, ""), (6, text())]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", None, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact dedup"](spark, docs, str(tmp_path))
+    assert once.columns == list(corpus_pipeline.COLUMNS)
+    order = lambda found: sorted(found, key=repr)
+    got = once.collect()
+    # Of equal texts the longest stays, then the smallest id.
+    want = [(None, alone), (1, twice), (None, null_twice), (3, one + "  "), (2, two + " "), (4, long), (4, close(long)), (None, close(close(long))), (5, ""), (6, rows[-1][1])]
+    assert order((x["doc_id"], x["text"]) for x in got) == order(want)
+    assert all(x["lang"] == (None if x["n_chars"] % 2 else "en") and x["source"] is None for x in got)
+    near = stages["near dedup"](spark, once, str(tmp_path))
+    assert near.columns == list(corpus_pipeline.COLUMNS)
+    left = [(x["doc_id"], x["text"]) for x in near.collect()]
+    family = {long, close(long), close(close(long))}
+    assert order(x for x in left if x[1] not in family) == order(x for x in want if x[1] not in family)
+    assert [x[0] for x in left if x[1] in family] == [4]
