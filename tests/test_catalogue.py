@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from stratalog.plans.catalogue import ORACLE, QUERIES
+from stratalog.plans.catalogue import ORACLE, QUERIES, edges
 
 DATA = "/root/testdata/sf0.001"
 SOME = ["scan_project", "ordered_wildcard", "out_of_range_const", "ground", "exists_clause", "multi_key", "triangle", "cross", "semi", "sum_group", "user_agg", "array_agg", "global_agg_empty", "clique", "turn_chain", "callback_flat", "incr_delta"]
@@ -26,6 +26,17 @@ def test_query(spark, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[k] for k in order)) for r in want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_derivation_of_the_whole_closure(spark):
+    edge = {tuple(r) for r in edges(spark, DATA).collect()}
+    reach = set(edge)
+    while new := {(x, z) for x, y in edge for y2, z in reach if y == y2} - reach:
+        reach |= new
+    extend = [(x, z) for x, y in edge for y2, z in reach if y == y2]
+    got = {r["rule"]: (r["derivations"], r["facts"]) for r in QUERIES["derivation"](spark, DATA).collect()}
+    assert got == {"promote": (len(edge), len(edge)), "extend": (len(extend), len(set(extend)))}
+
+
 def test_entry_imports():
     import __spark_entry__ as entry
 
