@@ -24,7 +24,9 @@ from stratalog.llm.crf import Crf
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template svg select option iframe".split())
+#: What holds no tags, and reaches to the end of the page if it is not closed; and what holds tags but no text of the page.
+_RAW = frozenset("script style textarea title iframe".split())
+_HIDDEN = frozenset("noscript template svg select option".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What an opening tag closes, if it is the innermost block of that kind.
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p")}
@@ -74,7 +76,7 @@ def blocks(page: str) -> list[Block]:
     stack = [_Open("", ())]
     count: dict[str, int] = {}
     held: list[str] = []
-    linked = at = 0
+    linked = at = unseen = 0
 
     def flush() -> None:
         nonlocal linked
@@ -88,26 +90,44 @@ def blocks(page: str) -> list[Block]:
 
     def put(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not unseen:
             text = html.unescape(text) if "&" in text else text
             held.append(text)
             if count.get("a"):
                 linked += len(text.strip())
 
     def push(tag: str, attributes: str) -> None:
+        nonlocal unseen
         names = " ".join("".join(m[1:]) for m in _ATTR.findall(attributes)) if "=" in attributes else ""
         top = stack[-1]
         own = _hints(names) if names else ()
         stack.append(_Open(tag, own, top.tags_in | {tag}, top.hints_in.union(own) if own else top.hints_in))
         count[tag] = count.get(tag, 0) + 1
+        unseen += tag in _HIDDEN
 
     def pop_to(tag: str) -> None:
+        nonlocal unseen
         while True:
             gone = stack.pop().tag
             count[gone] -= 1
+            unseen -= gone in _HIDDEN
             if gone == tag:
                 return
 
+    def around() -> str:
+        """The innermost block or hidden element."""
+        return next((o.tag for o in reversed(stack) if o.tag in _BLOCK or o.tag in _HIDDEN), "")
+
+    def hidden_by() -> str:
+        return next((o.tag for o in reversed(stack) if o.tag in _HIDDEN or o.tag == "foreignobject"), "") if unseen else ""
+
+    def close_hidden(tag: str) -> None:
+        """A start tag ends an option, a list of options or a drawing that can't hold it."""
+        if hidden_by() == "option" and (tag in _BLOCK or tag in ("option", "optgroup", "select", "input", "textarea")):
+            pop_to("option")
+        if hidden_by() == "select" and tag in ("select", "input", "textarea") or hidden_by() == "svg" and tag in _BLOCK:
+            pop_to(hidden_by())
+
     skip_until, m = 0, None
     for m in _TOKEN.finditer(page):
         if m.start() < skip_until:
@@ -120,27 +140,33 @@ def blocks(page: str) -> list[Block]:
                 put(m[0][9:-3])
             continue
         tag = name.lower()
-        if tag in _BLOCK:
+        if unseen and not m[1]:
+            close_hidden(tag)
+        elif unseen and count.get(tag):
+            # The end of a parent closes the hidden elements in it.
+            first = next(k for k, o in enumerate(stack) if o.tag in _HIDDEN)
+            if all(o.tag != tag for o in stack[first:]):
+                while unseen:
+                    pop_to(hidden_by())
+        if tag in _BLOCK and not unseen:
             flush()
-        elif tag == "br":
+        elif tag == "br" and not unseen:
             held.append(" ")
         if m[1]:
             if count.get(tag):
                 pop_to(tag)
             continue
-        if tag in _RAW:
+        if tag in _RAW and not (hidden_by() == "svg" and m[3].endswith("/")):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = skip_until = end.end() if end else len(page)
             continue
         if tag in _VOID:
             continue
         if tag in _BLOCK and count.get("p") and tag not in _CLOSES:
-            inner = next(o.tag for o in reversed(stack) if o.tag in _BLOCK)
-            if inner == "p":
+            if around() == "p":
                 pop_to("p")
         for closed in _CLOSES.get(tag, ()):
-            inner = next((o.tag for o in reversed(stack) if o.tag in _BLOCK), "")
-            if inner == closed:
+            if around() == closed:
                 pop_to(closed)
         if not m[3].endswith("/"):
             push(tag, m[3])

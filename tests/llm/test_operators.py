@@ -420,3 +420,12 @@ def test_blocks_of_tangled_pages():
     found = html_text.blocks("<div>a<b>b</div></i>c<p>d<p>e<li>f<br>g<table><tr><td>h<td>i</table><style>p{}</style>k &lt;")
     assert [b.text for b in found] == ["ab", "c", "d", "e", "f g", "h", "i", "k <"]
     assert "td" in found[5].tags and found[5].parent == "td"
+
+
+def test_blocks_after_hidden_elements():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts("<div><input list=x><datalist id=x><option value=a>A<option value=b>B</datalist></div><p>kept</p>") == ["kept"]
+    assert texts("<p>a <svg class='i'/> b</p><p>c</p><svg><path d=''/></svg><p>d") == ["a b", "c", "d"]
+    assert texts("<form>a<select><option>x<option>y</form><p>b<datalist><option>z<p>c<select><optgroup><option>u</select>d") == ["a", "b", "cd"]
+    assert texts("<p>a<noscript><div>x</div><p>y</noscript>b</p><li>c<template><li>x</li><p>y</template>d<li>e") == ["ab", "cd", "e"]
+    assert texts("<svg><title/><text>x</text><foreignObject><div>y</div></foreignObject></svg>a<div><svg><g>x<div>b</div></div><p>c<script>x") == ["a", "b", "c"]
