@@ -429,3 +429,13 @@ def test_blocks_after_hidden_elements():
     assert texts("<form>a<select><option>x<option>y</form><p>b<datalist><option>z<p>c<select><optgroup><option>u</select>d") == ["a", "b", "cd"]
     assert texts("<p>a<noscript><div>x</div><p>y</noscript>b</p><li>c<template><li>x</li><p>y</template>d<li>e") == ["ab", "cd", "e"]
     assert texts("<svg><title/><text>x</text><foreignObject><div>y</div></foreignObject></svg>a<div><svg><g>x<div>b</div></div><p>c<script>x") == ["a", "b", "c"]
+
+
+def test_secrets_of_any_length():
+    r = random.Random(3)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for key in ("".join(r.choice(base) for _ in range(720)), "x" * 50 + "".join(r.choice(base) for _ in range(40)) + "1"):
+        assert ("secret", 7, 7 + len(key)) in pii.candidates(f"token: {key} end")
+    assert not [c for c in pii.candidates("1 " + "a" * 600 + " " + "-" * 600) if c[0] == "secret"]
+    key = "".join(r.choice(base) for _ in range(720))
+    assert key not in pii.redact(text := f'api_key="{key}" 1', pii.all_spans(text)[1])
