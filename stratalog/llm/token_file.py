@@ -111,13 +111,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     """File images in ascending id order: (part, number, first, n_ids, n_docs, image), written to the shared folder.
 
     Each range of ids is a part; ``first`` counts the ids before an image in its part. A document's ids stay in one image,
-    which holds about ``image_ids`` ids or one longer document. Null text counts as empty; null ids come first; repeated
-    ids are ordered by text. An empty table gives no image.
+    which holds about ``image_ids`` ids or one longer document. Null text counts as empty; null ids come first. Rows of one
+    id, or of null ids, are ordered by a hash of their texts, so that many of them are dealt to several ranges too. An empty
+    table gives no image.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(common.partitions(spark), "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(common.partitions(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, first = TaskContext.get().partitionId(), 0, 0

@@ -1,12 +1,14 @@
 """Token ids of whole texts by the tokenizers library, with a memory of words that were encoded before.
 
-The tokenizer drops white space and never merges across it, so a text's ids are those of its words in a row. Each distinct
-word of a batch is looked up in a bounded memory. A new word of plain letters and signs is cut by the tokenizer file's own
-pattern and given to the library's BPE model; any other word goes through the library's whole pipeline.
+The tokenizer drops white space and never merges across it, so a text's ids are those of its words in a row. The distinct
+words of a batch are cut into a core of letters in lower case and the signs after it; each distinct core and run of signs goes
+through the library once and is remembered in a bounded memory. Cores of plain letters are one part of the tokenizer file's
+own pattern and are given to the library's BPE model directly; any other word goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 
 import numpy as np
@@ -16,20 +18,28 @@ import regex
 from tokenizers import Tokenizer
 
 END_ID = 2
-#: Words that a worker remembers; others are encoded anew in each batch.
+#: Cores that a worker remembers; others are encoded anew in each batch.
 MEMORY_WORDS = 800_000
 
-#: Words whose characters keep their meaning under NFC and have one lower-case form in every library.
+#: Characters that keep their meaning under NFC and have one lower-case form in every library, and the letters of them.
 _PLAIN = regex.compile("[!-~¡-įĲ-ňŊ-ɏ]+")
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ƺƼ-ƿǄ-ɏ]+$"
 
 _SIGNS = ".,;:!?#$%&*|)"
+_BEFORE_SIGNS = f"^(?s:.*)[^{_SIGNS}]"
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The usual byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = (b for b in range(256) if b not in shown)
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(letters[b] for b in range(256))
+
+
+_LETTER_OF = _byte_letters()
+#: The same for lists of words, with a line feed between them.
+_LETTER_OF_LIST = _LETTER_OF[:10] + "\n" + _LETTER_OF[11:]
 
 
 class WordEncoder:
@@ -42,76 +52,85 @@ class WordEncoder:
             spec = json.load(f)
         cut = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(cut[0]["pattern"]["Regex"])
-        letters = _byte_letters()
-        self.wide = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 0x250)}
-        self.known_signs: dict[str, list[int]] = {}
-        #: Numbers of words; ids of word number k are pool[starts[k] : starts[k] + sizes[k]].
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
-        self.used = self.filled = 0
+        #: Numbers of cores, signs and other words; ids of number k are pool[starts[k] : starts[k + 1]]. Number 0 has no id.
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.used = 1
         self.memory_words = memory_words
 
     def word(self, word: str) -> list[int]:
-        core = word.rstrip(_SIGNS)
-        if core.isalpha():
-            if core.isascii():
-                out = [t.id for t in self.model.tokenize(core.lower())]
-            elif _PLAIN.fullmatch(core):
-                out = [t.id for t in self.model.tokenize(core.lower().translate(self.wide))]
-            else:
-                return self.whole.encode(word, add_special_tokens=False).ids
-            return out + self.signs(word[len(core) :]) if len(core) < len(word) else out
+        """Ids of a word that is more than plain letters."""
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return self.whole.encode(word, add_special_tokens=False).ids
-        return [t.id for part in self.pattern.findall(word.lower()) for t in self.model.tokenize(part.translate(self.wide))]
-
-    def signs(self, signs: str) -> list[int]:
-        """Ids of signs alone, which are one part of the pattern; remembered while short."""
-        got = self.known_signs.get(signs)
-        if got is None:
-            got = self.whole.encode(signs, add_special_tokens=False).ids
-            if len(signs) < 5:
-                self.known_signs[signs] = got
-        return got
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words. Words beyond the memory get numbers that hold until the next call."""
-        self.used = min(self.used, len(self.known))
-        self.filled = int(self.starts[self.used - 1] + self.sizes[self.used - 1]) if self.used else 0
-        out = list(map(self.known.get, words))
-        fresh = [k for k, n in enumerate(out) if n is None]
-        made = [self.word(words[k]) for k in fresh]
-        ids = np.fromiter((i for m in made for i in m), np.uint32)
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        while self.used + len(fresh) > len(self.starts):
-            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
-        while self.filled + len(ids) > len(self.pool):
+        return [t.id for part in self.pattern.findall(word.lower()) for t in self.model.tokenize(codecs.charmap_decode(part.encode(), "strict", _LETTER_OF)[0])]
+
+    def _encoded(self, cores: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cores of plain letters in lower case, and then of other words, in a row; and how many each has."""
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        spelled = codecs.charmap_decode("\n".join(cores).encode(), "strict", _LETTER_OF_LIST)[0]
+        for c in spelled.split("\n") if cores else []:
+            tokens = tokenize(c)
+            sizes.append(len(tokens))
+            ids += [t.id for t in tokens]
+        for w in others:
+            own = self.word(w)
+            sizes.append(len(own))
+            ids += own
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def _numbers(self, keys: list[str], plain: np.ndarray) -> np.ndarray:
+        """Numbers of distinct keys. Keys beyond the memory get numbers that hold until the next call."""
+        out = list(map(self.known.get, keys))
+        fresh = np.array([k for k, n in enumerate(out) if n is None], np.int64)
+        if not len(fresh):
+            return np.array(out, np.int64)
+        cores, others = fresh[plain[fresh]].tolist(), fresh[~plain[fresh]].tolist()
+        ids, sizes = self._encoded([keys[k] for k in cores], [keys[k] for k in others])
+        filled = int(self.starts[self.used])
+        while self.used + len(fresh) + 1 > len(self.starts):
+            self.starts = np.append(self.starts, np.zeros_like(self.starts))
+        while filled + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        first, last = self.used, self.used + len(fresh)
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.sizes[first:last] = sizes
-        self.starts[first:last] = self.filled + np.cumsum(sizes) - sizes
-        for n, k in enumerate(fresh, first):
+        self.pool[filled : filled + len(ids)] = ids
+        self.starts[self.used + 1 : self.used + 1 + len(fresh)] = filled + np.cumsum(sizes)
+        for n, k in enumerate(cores + others, self.used):
             out[k] = n
             if n < self.memory_words:
-                self.known[words[k]] = n
-        self.used, self.filled = last, self.filled + len(ids)
+                self.known[keys[k]] = n
+        self.used += len(fresh)
         return np.array(out, np.int64)
 
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct word the numbers of its core, or of all of it, and of the signs after the core."""
+        core = pc.utf8_rtrim(words, _SIGNS)
+        plain = pc.match_substring_regex(core, _LETTERS)
+        keys = pc.if_else(plain, pc.utf8_lower(core), words).dictionary_encode()
+        index, letters = np.asarray(keys.indices), np.asarray(plain)
+        is_core = np.zeros(len(keys.dictionary), bool)
+        is_core[index] = letters
+        first = self._numbers(np.asarray(keys.dictionary).tolist(), is_core)[index]
+        second = np.zeros(len(words), np.int64)
+        signed = np.flatnonzero(letters & (np.asarray(pc.binary_length(core)) < np.asarray(pc.binary_length(words))))
+        if len(signed):
+            signs = pc.replace_substring_regex(words.take(pa.array(signed)), _BEFORE_SIGNS, "").dictionary_encode()
+            second[signed] = self._numbers(np.asarray(signs.dictionary).tolist(), np.zeros(len(signs.dictionary), bool))[np.asarray(signs.indices)]
+        return first, second
+
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by ``end_id``, and the bounds of the texts in them. Null counts as empty."""
-        texts = pc.fill_null(texts, "")
-        split = pc.ascii_split_whitespace(texts)
+        self.used = min(self.used, len(self.known))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        numbers = self._numbers(words.dictionary.to_pylist())
-        index = numbers[np.asarray(words.indices)]
-        each = self.sizes[index]
-        ends = np.cumsum(each)
-        gather = self.pool[np.repeat(self.starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
-        bounds = np.append(0, ends)[offsets]
-        out = np.insert(gather, bounds[1:], end_id)
-        return out.astype(np.uint32, copy=False), bounds + np.arange(len(bounds))
+        parts = np.stack(self._parts(words.dictionary), 1).reshape(-1)
+        # A list of ids for each distinct word, and a last one for the end of a text.
+        halves = pa.ListArray.from_arrays(pa.array(self.starts[: self.used + 1].astype(np.int32)), pa.array(self.pool[: self.starts[self.used]])).take(pa.array(parts))
+        offsets = np.asarray(halves.offsets)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[::2], offsets[-1] + 1).astype(np.int32)), pa.array(np.append(np.asarray(halves.values), np.uint32(end_id))))
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        units = np.insert(np.asarray(words.indices), ends, len(words.dictionary))
+        taken = lists.take(pa.array(units))
+        bounds = np.asarray(taken.offsets)[np.append(0, ends + np.arange(1, len(ends) + 1))]
+        return np.asarray(taken.values), bounds.astype(np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}

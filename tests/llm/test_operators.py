@@ -164,6 +164,16 @@ def test_token_files(docs, rows, empty, ids_of):
     assert token_file.read_token_files(token_file.write_token_files(empty, WORDS)).count() == 0
 
 
+def test_token_files_of_one_id(spark):
+    """Rows that share an id, or have none, lie in several parts, each at its own place."""
+    rows = [(None if k % 2 else 7, f"word{k} " * (k % 9)) for k in range(400)]
+    images = token_file.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, image_ids=50)
+    assert images.select("part").distinct().count() > 2
+    got = sorted(token_file.read_token_files(images).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [7] * 200
+
+
 @pytest.mark.parametrize("make", [lambda r, n: r.integers(0, 50_000, n), lambda r, n: np.where(r.random(n) < 0.02, 2**32 - 1, r.integers(5, 9, n)), lambda r, n: np.full(n, 7)])
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
 def test_blocks(make, n):
