@@ -9,6 +9,7 @@ length, and the last remainder at powers of two, which need no padding either.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ class Packer:
 
     def finish(self) -> None:
         """Merge what is still open."""
-        rest = [p for _, number in self.open for p in self.held[number]]
+        rest = deque(p for _, number in self.open for p in self.held[number])
         left = sum(len(p[2]) for p in rest)
         self.open, self.held = [], {}
         while left:
@@ -71,9 +72,9 @@ class Packer:
             left -= goal
             taken: list[Piece] = []
             while goal:
-                doc, at, ids = rest.pop(0)
+                doc, at, ids = rest.popleft()
                 if len(ids) > goal:
-                    rest.insert(0, (doc, at + goal, ids[goal:]))
+                    rest.appendleft((doc, at + goal, ids[goal:]))
                     ids = ids[:goal]
                 taken.append((doc, at, ids))
                 goal -= len(ids)

@@ -144,6 +144,8 @@ def ids_of():
 
 def test_word_encoder_is_the_library(ids_of):
     texts = [t for _, t, *_ in made(5)] + ["I'll we've <|endoftext|> a<|startoftext|>", "İs ΣΑΣ ǅ ﬁ 12½ x\x1cy\x85z", "Straße, ÉTÉ!! ñandú### |", "á é"]
+    r = random.Random(8)
+    texts += [" ".join("".join(r.choice("aZéÉßİ.,;:!?#$%&*|)('s1-") for _ in range(r.randint(1, 6))) for _ in range(200)) for _ in range(6)]
     for memory in (3, 10**6):
         encoder = tokens.WordEncoder(WORDS, memory)
         for part in (texts[:40], texts[40:], texts):
