@@ -1,51 +1,124 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text becomes words: runs of U+2581 with what follows. Over the distinct words of all texts, all substrings up to the longest
-piece are exploded and equi-joined to the piece table; a word's matches are its lattice edges, grouped by word. A
-higher-order aggregate folds the lattice. The given model is a byte-pair model, whose ids are not those of the path
-with the greatest sum of scores; so the fold takes the best edge over two neighbouring nodes again and again, leftmost of equals,
-which is what such a model means. Characters without a piece become byte pieces.
-
-Texts are encoded by joining their words to the encoded words: the most frequent words as a broadcast table of bounded size,
-all others by a shuffled join.
+A text becomes words: it is cut wherever no piece reaches over. Over the distinct words of all texts, all substrings up to the
+longest piece are exploded and equi-joined to the piece table; a word's matches are its lattice edges, grouped by word. A
+higher-order aggregate folds the lattice by Viterbi: at each place it keeps the best path that ends there.
+
+The given model is a byte-pair model. The path with the greatest sum of its scores is not what the model encodes, so transitions
+are scored, not edges: a piece may follow another only if the model would leave the two side by side, that is, if no edge across
+their border would have been merged first. Under such transitions one path is left at every place, and it is the model's own
+encoding (tests hold it against the library). Whether two pieces may meet is read from three arrays of the piece table, by
+length: when the last part of the left piece, and the first part of the right one, is merged away, and when the edge across
+the border could be merged. Characters without a piece become byte pieces.
+
+Texts are encoded by joining their words to the encoded words. Texts do not move: what moves is a code for each word, the most
+frequent words by place in a broadcast table of bounded size, and all others spelled out and joined by a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import common
 
 #: Words in the broadcast table, at most; longest word that the lattice takes; words that a task counts before it hands them on.
-FREQUENT, LONGEST, HELD = 1_000_000, 128, 400_000
+FREQUENT, LONGEST, HELD = 1_000_000, 256, 400_000
+#: Characters of text in a group of the last join, about.
+GROUP_CHARS = 16 << 20
 MARK = "▁"
-
-_UNITS = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
-
-
-def processor(path: str) -> sentencepiece.SentencePieceProcessor:
-    if path not in _processors:
-        _processors[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _processors[path]
-
-
-_processors: dict[str, sentencepiece.SentencePieceProcessor] = {}
-
-
-def units(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of texts, and the texts' bounds in them. No piece of the model reaches over a word's border."""
-    found = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    flat = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-    return flat, np.append(0, np.cumsum(list(map(len, found)))).astype(np.int64)
+#: When what is never merged away is merged, and when what can't be merged is.
+_END, _NEVER = 1 << 30, (1 << 31) - 1
+
+
+class Model:
+    """The pieces of a model file; ``rank`` is the order in which merges are made, from 1, and a space stands for the mark."""
+
+    def __init__(self, path: str):
+        sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        place = {s: k for k, s in enumerate(sorted({-sp.get_score(i) for i in plain}), 1)}
+        self.ids = {sp.id_to_piece(i).replace(MARK, " "): i for i in plain}
+        self.rank = {p: place[-sp.get_score(i)] for p, i in self.ids.items()}
+        self.first_byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
+        special = lambda i: bytes([i - self.first_byte]) if sp.is_byte(i) else b""
+        spelled = {i: p.encode() for p, i in self.ids.items()}
+        self.spelled = [spelled[i] if i in spelled else special(i) for i in range(sp.get_piece_size())]
+        glued = np.zeros(1 << 16, bool)
+        for p in self.ids:
+            b = np.frombuffer(p.encode(), np.uint8).astype(np.int64)
+            glued[b[:-1] * 256 + b[1:]] = True
+        #: Whether a text may be cut between two bytes; never inside a character.
+        self.cut = ~glued
+        self.cut.reshape(256, 256)[:, 0x80:0xC0] = False
+
+    def parts(self, piece: str) -> list[tuple]:
+        """What merging makes of a piece alone, as trees (text, left, right)."""
+        a: list[tuple] = [(c, None, None) for c in piece]
+        while len(a) > 1:
+            found = [(r, k) for k in range(len(a) - 1) if (r := self.rank.get(a[k][0] + a[k + 1][0])) is not None]
+            if not found:
+                break
+            k = min(found)[1]
+            a[k : k + 2] = [(a[k][0] + a[k + 1][0], a[k], a[k + 1])]
+        return a
+
+    def made(self, part: str) -> int:
+        """When a part comes to be: characters are there from the start."""
+        return 0 if len(part) == 1 else self.rank.get(part, _NEVER)
+
+    def table(self) -> list[tuple[str, int, list[int], list[int], list[int]]]:
+        """(piece, id, left, right, over). Entry n - 1 of ``left``: when the first part of n characters is merged away, -1 if there is
+        none; of ``right`` the same for the last part; of ``over``: when the piece could be merged over a border after n characters.
+        """
+        rows = []
+        for piece, i in self.ids.items():
+            tree = self.parts(piece)
+            if len(tree) > 1:
+                continue  # the model never makes it
+
+            def ends(side: int, node: tuple = tree[0], n: int = len(piece)) -> list[int]:
+                out = [-1] * n
+                out[n - 1] = _END
+                while node[1] is not None:
+                    when, node = self.rank[node[0]], node[1 + side]
+                    out[len(node[0]) - 1] = when
+                return out
+
+            over = [max(self.rank[piece], self.made(piece[:k]), self.made(piece[k:])) for k in range(1, len(piece))]
+            rows.append((piece, i, ends(0), ends(1), over))
+        return rows
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts, and the texts' bounds in them. The mark before a text, and in it, is a space."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
+        data, offsets = common.raw_bytes(texts)
+        if not len(data):
+            return pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
+        begins = np.ones(len(data), bool)
+        begins[1:] = self.cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        return words, np.searchsorted(starts, offsets)
+
+
+_models: dict[str, Model] = {}
+
+
+def model(path: str) -> Model:
+    if path not in _models:
+        _models[path] = Model(path)
+    return _models[path]
 
 
 def string_hashes(column: pa.Array) -> np.ndarray:
@@ -59,68 +132,86 @@ def string_hashes(column: pa.Array) -> np.ndarray:
 
 
 class WordTable:
-    """Ids of words by hash, in flat arrays."""
+    """Ids of words, in flat arrays; words are found by hash, and words that share one are not in the table."""
 
     def __init__(self, words: pa.Array, ids: pa.ListArray):
         h = string_hashes(words)
-        sizes = np.diff(np.asarray(ids.offsets)).astype(np.int64)
-        pool = np.asarray(ids.flatten(), dtype=np.uint16)
-        starts = np.cumsum(sizes) - sizes
         order = np.argsort(h, kind="stable")
-        h, starts, sizes = h[order], starts[order], sizes[order]
-        # Words that share a hash are left to the join.
-        twin = np.zeros(len(h), bool)
+        h = h[order]
+        alone = np.ones(len(h), bool)
         if len(h):
-            twin[1:] = h[1:] == h[:-1]
-            twin[:-1] |= twin[1:]
-        self.hashes, self.starts, self.sizes, self.pool = h[~twin], starts[~twin], sizes[~twin], pool
+            alone[1:] &= h[1:] != h[:-1]
+            alone[:-1] &= h[1:] != h[:-1]
+        self.hashes, self.places = h[alone], order[alone]
+        self.offsets, self.pool = np.asarray(ids.offsets).astype(np.int32), np.asarray(ids.flatten(), dtype=np.uint16)
 
-    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each word is known, and its place."""
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the table, or -1."""
         if not len(self.hashes) or not len(words):
-            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+            return np.full(len(words), -1, np.int64)
         h = string_hashes(words)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return self.hashes[at] == h, at
+        return np.where(self.hashes[at] == h, self.places[at], -1)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, value): the rank of each text piece times 65536 plus its id. As many rows as the model has pieces."""
-    sp = processor(path)
-    rows = [(sp.id_to_piece(i), (round(-sp.get_score(i)) << 16) + i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    return spark.createDataFrame(rows, "piece string, value long")
+    """The rows of ``Model.table``: as many as the model has pieces."""
+    return spark.createDataFrame(model(path).table(), "piece string, id int, left array<int>, right array<int>, over array<int>")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """(word, n) to (word, n, ids). Words are distinct, not empty, and grouped by word, so that the lattice need not move."""
-    spark = words.sparkSession
-    sp = processor(path)
-    pieces = piece_table(spark, path)
-    most = max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
-    first_byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
-    starts = words.select("word", "n", F.char_length("word").alias("size")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("start"))
-    spans = starts.select("*", F.explode(F.expr(f"sequence(1, least({most}, size - start))")).alias("length")).select("word", "n", "start", "length", F.expr("substring(word, start + 1, length)").alias("piece"))
-    edges = spans.join(F.broadcast(pieces), "piece", "left").filter("value IS NOT NULL OR length = 1")
-    lattice = edges.groupBy("word", "n").agg(F.collect_list(F.struct((F.col("start") * 64 + F.col("length")).alias("k"), F.col("value").alias("v"))).alias("e"))
-    lattice = lattice.select("word", "n", F.expr("map_from_entries(filter(e, x -> x.v IS NOT NULL))").alias("m"))
-    none = 1 << 40
-    best = f"array_min(transform(slice(b, 1, size(b) - 2), (x, i) -> coalesce(shiftright(try_element_at(m, x * 64 + b[i + 2] - x), 16), {none}L) * 1024 + i))"
-    merged = f"transform(array({best}), t -> IF(t >= {none}L * 1024, b, filter(b, (x, i) -> i <> (t & 1023) + 1)))[0]"
-    nodes = f"aggregate(sequence(1, char_length(word)), sequence(0, char_length(word)), (b, s) -> IF(size(b) < 3, b, {merged}))"
-    folded = lattice.select("word", "n", "m", F.expr(nodes).alias("b"))
-    as_bytes = f"transform(sequence(1, octet_length(substring(word, x + 1, 1))), k -> CAST(conv(substring(hex(encode(substring(word, x + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + {first_byte})"
-    value = "try_element_at(m, x * 64 + b[i + 1] - x)"
-    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, i) -> IF({value} IS NOT NULL, array(CAST({value} & 65535 AS int)), {as_bytes})))"
-    return folded.select("word", "n", F.expr(ids).alias("ids"))
+    m = model(path)
+    pieces = piece_table(words.sparkSession, path)
+    most = max(map(len, m.ids))
+    # Edges of a word are made next to each other, so the sort by its number finds them in order.
+    numbered = words.select(F.monotonically_increasing_id().alias("w"), "word", "n", F.char_length("word").alias("size"))
+    starts = numbered.select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
+    spans = starts.select("w", "word", "n", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {most}, size))")).alias("e")).withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
+    edges = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR e = s + 1")
+    alone = F.array(F.lit(_END))
+    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("left", alone).alias("l"), F.coalesce("right", alone).alias("r"), F.coalesce("over", F.array().cast("array<int>")).alias("o"))
+    lattice = edges.groupBy("w", "word", "n").agg(F.array_sort(F.collect_list(edge)).alias("g"))
+    # ``done`` holds for each place up to now the best path's ids and the ``r`` of its last edge.
+    first = "CAST(array() AS array<struct<ids: array<int>, r: array<int>>>)"
+    over = "get(c.o, b.s - c.s - 1)"
+    barred = f"exists(g, c -> c.s < b.s AND c.e > b.s AND c.e <= b.e AND {over} < get(get(done, b.s - 1).r, b.s - c.s - 1) AND {over} <= get(b.l, c.e - b.s - 1))"
+    as_bytes = f"transform(sequence(1, octet_length(substring(word, b.e, 1))), k -> CAST(conv(substring(hex(encode(substring(word, b.e, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + {m.first_byte})"
+    longer = f"concat(done, array(named_struct('ids', concat(coalesce(get(done, b.s - 1).ids, CAST(array() AS array<int>)), IF(b.id >= 0, array(b.id), {as_bytes})), 'r', b.r)))"
+    folded = f"aggregate(g, {first}, (done, b) -> IF(size(done) >= b.e, done, IF(coalesce({barred}, false), done, {longer})), done -> get(done, size(done) - 1).ids)"
+    return lattice.select("word", "n", F.expr(folded).alias("ids"))
 
 
 def whole_word(word: str, sp: sentencepiece.SentencePieceProcessor) -> list[int]:
-    """Ids of a long word, whose fold would take time with the square of its length, by the library.
+    """Ids of a long word by the library.
 
     The library puts a mark before a text: a word that begins with one lends its own, for others a line feed is put before and
     its ids are taken off.
     """
-    return sp.encode(word[1:]) if word.startswith(MARK) else sp.encode("\n" + word)[len(sp.encode("\n")) :]
+    return sp.encode(word[1:]) if word.startswith(" ") else sp.encode("\n" + word)[len(sp.encode("\n")) :]
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Codes under 2^28, seven bits a byte, the last byte of each with the high bit set; compressed."""
+    sizes = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21)
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        has = sizes > k
+        out[ends[has] - 1 - k] = (codes[has] >> (7 * k)) & 127
+    out[ends - 1] |= 128
+    return zstandard.compress(out.tobytes(), 1)
+
+
+def unpack_codes(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    ends = np.flatnonzero(data & 128)
+    sizes = np.diff(np.append(-1, ends))
+    out = np.zeros(len(ends), np.int64)
+    for k in range(4):
+        has = sizes > k
+        out[has] |= (data[ends[has] - k].astype(np.int64) & 127) << (7 * k)
+    return out
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, frequent: int = FREQUENT) -> DataFrame:
@@ -128,125 +219,129 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``decoded_sha256`` is of the text that the ids decode to; ``round_trip`` tells whether it equals the text, which is so
     unless the text holds U+2581 itself. Null text counts as empty and has no piece. Rows of null or repeated ids are
-    encoded like others. An empty table gives no row.
+    encoded like others. Words of more than 256 characters (runs that no cut divides) are given to the library, so that no
+    lattice grows without bound. An empty table gives no row.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    groups = common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        out = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for piece in common.pieces(batches, "text"):
-            found, _ = units(common.texts_of(piece, "text"))
-            for w, n in zip(found.dictionary.to_pylist(), np.bincount(np.asarray(found.indices), minlength=len(found.dictionary)).tolist(), strict=True):
-                if len(w) <= LONGEST:
-                    held[w] = held.get(w, 0) + n
-            if len(held) > HELD:
-                yield out()
-                held.clear()
+            words, _ = model(path).units(piece.column("text"))
+            found = words.value_counts()
+            one = pa.table({"word": found.field(0), "n": found.field(1)})
+            held.append(one.filter(pc.less_equal(pc.utf8_length(one["word"]), LONGEST)))
+            if sum(map(len, held)) > HELD:
+                held = [merged()]
+                if len(held[0]) > HELD // 2:
+                    yield from held[0].combine_chunks().to_batches(max_chunksize=1 << 16)
+                    held = []
         if held:
-            yield out()
+            yield from merged().combine_chunks().to_batches(max_chunksize=1 << 16)
 
     counted = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     encoded = common.written(encode_words(counted, path), "words")
     # Counts in bins of eight for each power of two: a few hundred rows at any size.
-    bins = sorted(((r["bin"], r["words"]) for r in encoded.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    bins = sorted(((r["bin"], r["words"], r["chars"]) for r in encoded.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("words"), F.sum(F.col("n") * F.length("word")).alias("chars")).collect()), reverse=True)
     least, total = None, 0
-    for b, n in bins:
+    for b, n, _ in bins:
         total += n
         if total > frequent:
             break
         least = b
-    known = encoded.filter(F.floor(8 * F.log2("n")) >= (least if least is not None else 1 << 30)).select("word", "ids").toArrow()
-    table = _table(known)
-    shared = spark.sparkContext.broadcast(table)
+    groups = max(common.partitions(spark), -(-sum(c for *_, c in bins) // GROUP_CHARS))
+    # At most ``frequent`` words.
+    known = encoded.filter(F.floor(8 * F.log2("n")) >= (least if least is not None else 1 << 30)).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    shared = spark.sparkContext.broadcast(_table(known))
     dealt = rows.withColumn("k", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
-            found, bounds = units(common.texts_of(piece, "text"))
-            known, _ = shared.value.find(found.dictionary)
-            known |= np.asarray(pc.greater(pc.utf8_length(found.dictionary), LONGEST))
-            if not known.all():
+            words, bounds = model(path).units(piece.column("text"))
+            found = words.dictionary_encode()
+            unknown = (shared.value.find(found.dictionary) < 0) & np.asarray(pc.less_equal(pc.utf8_length(found.dictionary), LONGEST))
+            if unknown.any():
                 index = np.asarray(found.indices)
-                group = np.repeat(np.asarray(piece.column("k")), np.diff(bounds))
-                hit = ~known[index]
-                pairs = np.unique(np.stack([group[hit].astype(np.int64), index[hit].astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(pairs[0], pa.int32()), "word": found.dictionary.take(pa.array(pairs[1]))})
+                hit = np.flatnonzero(unknown[index])
+                group = np.asarray(piece.column("k"))[np.searchsorted(bounds, hit, side="right") - 1]
+                pairs = np.unique(group.astype(np.int64) << 32 | index[hit])
+                yield pa.RecordBatch.from_pydict({"k": pa.array((pairs >> 32).astype(np.int32)), "word": found.dictionary.take(pa.array(pairs & 0xFFFFFFFF))})
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.pieces(batches, "text"):
+            words, bounds = model(path).units(piece.column("text"))
+            found = words.dictionary_encode()
+            codes = (shared.value.find(found.dictionary) + 1)[np.asarray(found.indices)]
+            spelled = np.flatnonzero(codes == 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(spelled, bounds).astype(np.int32)), words.take(pa.array(spelled)))
+            packed = [pack_codes(codes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            shas = [hashlib.sha256(t.encode()).digest() for t in common.texts_of(piece, "text")]
+            yield pa.RecordBatch.from_pydict({"k": piece.column("k"), "doc_id": piece.column("doc_id"), "codes": pa.array(packed, pa.binary()), "rare": lists, "sha": pa.array(shas, pa.binary())})
 
     others = dealt.select("k", "text").mapInArrow(rare, "k int, word string").distinct().join(encoded.select("word", "ids"), "word")
-    sp = processor(path)
-    first_byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
-    texts = [bytes([i - first_byte]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())]
+    moved = dealt.mapInArrow(coded, "k int, doc_id long, codes binary, rare array<string>, sha binary")
 
     def join(docs: pa.Table, words: pa.Table) -> pa.Table:
         own = _table(words)
         strays = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True)) if len(own.hashes) < words.num_rows else {}
-        out = []
-        for batch in docs.select(["doc_id", "text"]).combine_chunks().to_batches():
-            for piece in common.pieces(iter([batch]), "text"):
-                out.append(_encoded(piece, shared.value, own, strays, path, texts, ids))
+        out = [_decoded(batch, shared.value, own, strays, model(path), ids) for batch in docs.to_batches(max_chunksize=256)]
         return pa.Table.from_batches(out, schema=_schema(ids))
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
-    return dealt.groupBy("k").cogroup(others.groupBy("k")).applyInArrow(join, schema)
+    return moved.groupBy("k").cogroup(others.groupBy("k")).applyInArrow(join, schema)
 
 
 def _table(rows: pa.Table) -> WordTable:
-    words, ids = rows.column("word").cast(pa.string()).combine_chunks(), rows.column("ids").cast(pa.list_(pa.int32())).combine_chunks()
-    first = lambda x: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
-    return WordTable(first(words), first(ids))
+    one = rows.select(["word", "ids"]).cast(pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+    first = lambda x, kind: x.chunk(0) if x.num_chunks else pa.array([], kind)
+    return WordTable(first(one["word"], pa.string()), first(one["ids"], pa.list_(pa.int32())))
 
 
 def _schema(ids: bool) -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), *[("ids", pa.list_(pa.int32()))] * ids])
 
 
-def _encoded(piece: pa.RecordBatch, table: WordTable, own: WordTable, strays: dict[str, list[int]], path: str, pieces: list[bytes], ids: bool) -> pa.RecordBatch:
-    texts = common.texts_of(piece, "text")
-    found, bounds = units(texts)
-    words = found.dictionary
-    known, at = table.find(words)
-    sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    sizes[known], starts[known] = table.sizes[at[known]], table.starts[at[known]]
-    rest = np.flatnonzero(~known)
+def _decoded(batch: pa.RecordBatch, table: WordTable, own: WordTable, strays: dict[str, list[int]], m: Model, ids: bool) -> pa.RecordBatch:
+    """The result rows of coded documents: ids from the two tables, then the text from the ids."""
+    each = [unpack_codes(c.as_py()) for c in batch.column("codes")]
+    codes = np.concatenate(each) - 1
+    bounds = np.append(0, np.cumsum(list(map(len, each))))
+    rare = batch.column("rare").flatten().cast(pa.string()).dictionary_encode()
+    place = own.find(rare.dictionary)
     extra: list[int] = []
-    base = len(table.pool)
-    if len(rest):
-        kept, place = own.find(words.take(pa.array(rest)))
-        sizes[rest[kept]], starts[rest[kept]] = own.sizes[place[kept]], base + own.starts[place[kept]]
-        for k in rest[~kept].tolist():
-            word = words[k].as_py()
-            got = whole_word(word, processor(path)) if len(word) > LONGEST else strays[word]
-            sizes[k], starts[k] = len(got), base + len(own.pool) + len(extra)
-            extra += got
-    index = np.asarray(found.indices)
-    each = sizes[index]
-    ends = np.cumsum(each)
-    where = np.repeat(starts[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-    flat = np.empty(len(where), np.uint32)
-    low = where < base
-    flat[low] = table.pool[where[low]]
-    flat[~low] = np.append(own.pool, np.array(extra, np.uint16))[where[~low] - base]
-    cuts = np.append(0, ends)[bounds]
+    extra_ends = [0]
+    for j in np.flatnonzero(place < 0).tolist():
+        word = rare.dictionary[j].as_py()
+        extra += strays[word] if word in strays else whole_word(word, m.library)
+        place[j] = len(own.offsets) - 1 + len(extra_ends) - 1
+        extra_ends.append(len(extra))
+    # All lists of ids in a row: the broadcast table's, the group's own, and those made here.
+    values = np.concatenate([table.pool, own.pool, np.array(extra, np.uint16)])
+    base, base_own = len(table.pool), len(table.pool) + len(own.pool)
+    ends = np.concatenate([table.offsets, base + own.offsets[1:], base_own + np.array(extra_ends[1:], np.int64)]).astype(np.int32)
+    codes[codes < 0] = len(table.offsets) - 1 + place[np.asarray(rare.indices)]
+    taken = pa.ListArray.from_arrays(pa.array(ends), pa.array(values)).take(pa.array(codes))
+    flat, cuts = np.asarray(taken.values).astype("<u4"), np.asarray(taken.offsets)[bounds]
+    spelled = pa.array(m.spelled, pa.binary()).take(pa.array(flat))
+    data, at = spelled.buffers()[2], np.asarray(pa.Array.from_buffers(pa.int32(), len(spelled) + 1, [None, spelled.buffers()[1]]))[cuts]
+    view = memoryview(data) if data is not None else memoryview(b"")
     rows = []
-    for k, text in enumerate(texts):
-        part = flat[cuts[k] : cuts[k + 1]]
-        decoded = decode(part, pieces)
-        rows.append((len(part), common.crc(part.astype("<u4").tobytes()), hashlib.sha256(decoded).hexdigest(), decoded == text.encode()))
+    for k, sha in enumerate(batch.column("sha").to_pylist()):
+        a, b = int(at[k]), int(at[k + 1])
+        # The mark before the text is taken off.
+        decoded = hashlib.sha256(view[a + (view[a:b][:1] == b" ") : b]).digest()
+        rows.append((int(cuts[k + 1] - cuts[k]), common.crc(flat[cuts[k] : cuts[k + 1]].tobytes()), decoded.hex(), decoded == sha))
     n, crcs, shas, same = zip(*rows, strict=True)
-    data = [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas), pa.array(same)]
+    columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas), pa.array(same)]
     if ids:
-        data.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32))))
-    return pa.RecordBatch.from_arrays(data, schema=_schema(ids))
-
-
-def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    """UTF-8 bytes of ids; the mark before the text is taken off."""
-    out = b"".join(map(pieces.__getitem__, ids.tolist()))
-    return out[1:] if out[:1] == b" " else out
+        columns.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32))))
+    return pa.RecordBatch.from_arrays(columns, schema=_schema(ids))
 
 
-__all__ = ["decode", "encode_texts", "encode_words", "piece_table"]
+__all__ = ["Model", "encode_texts", "encode_words", "piece_table"]

@@ -305,7 +305,7 @@ def test_lengths_follow_redaction(docs):
 
 
 def test_pieces_are_the_library(docs, rows, empty):
-    sp = pieces.processor(PIECES)
+    sp = pieces.model(PIECES).library
     extra = ["  a  b   \n\n\tc", "if (x) {\r\n  return;\r\n}    \r", "x" * 300 + " " + "ab" * 200, "==" * 40]
     for frequent in (10**6, 20):
         got = pieces.encode_texts(docs, PIECES, frequent=frequent).collect()
