@@ -32,6 +32,8 @@ from stratalog.llm import common
 
 #: Words in the broadcast table, at most; longest word that the lattice takes; words that a task counts before it hands them on.
 FREQUENT, LONGEST, HELD = 1_000_000, 256, 400_000
+#: Distinct words in a partition of the lattice, about.
+WORDS_EACH = 24_000
 #: Characters of text in a group of the last join, about.
 GROUP_CHARS = 16 << 20
 MARK = "▁"
@@ -155,30 +157,35 @@ class WordTable:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of ``Model.table``: as many as the model has pieces."""
-    return spark.createDataFrame(model(path).table(), "piece string, id int, left array<int>, right array<int>, over array<int>")
+    """(piece, id, merges): ``merges`` are left, right and over of ``Model.table`` in a row. As many rows as the model has pieces."""
+    return spark.createDataFrame([(piece, i, left + right + over) for piece, i, left, right, over in model(path).table()], "piece string, id long, merges array<int>")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n) to (word, n, ids). Words are distinct, not empty, and grouped by word, so that the lattice need not move."""
-    m = model(path)
-    pieces = piece_table(words.sparkSession, path)
+def encode_words(words: DataFrame, path: str, each: int = WORDS_EACH) -> DataFrame:
+    """(word, n) to (word, n, ids), with about ``each`` words in a partition. Words are distinct and not empty."""
+    spark, m = words.sparkSession, model(path)
     most = max(map(len, m.ids))
+    parts = max(common.partitions(spark), -(-words.count() // each))
     # Edges of a word are made next to each other, so the sort by its number finds them in order.
-    numbered = words.select(F.monotonically_increasing_id().alias("w"), "word", "n", F.char_length("word").alias("size"))
+    dealt = words.select("word", "n").repartition(parts, "word")
+    numbered = dealt.select(F.monotonically_increasing_id().alias("w"), "word", "n", F.char_length("word").alias("size"))
     starts = numbered.select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
     spans = starts.select("w", "word", "n", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {most}, size))")).alias("e")).withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
-    edges = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR e = s + 1")
-    alone = F.array(F.lit(_END))
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("left", alone).alias("l"), F.coalesce("right", alone).alias("r"), F.coalesce("over", F.array().cast("array<int>")).alias("o"))
-    lattice = edges.groupBy("w", "word", "n").agg(F.array_sort(F.collect_list(edge)).alias("g"))
-    # ``done`` holds for each place up to now the best path's ids and the ``r`` of its last edge.
-    first = "CAST(array() AS array<struct<ids: array<int>, r: array<int>>>)"
-    over = "get(c.o, b.s - c.s - 1)"
-    barred = f"exists(g, c -> c.s < b.s AND c.e > b.s AND c.e <= b.e AND {over} < get(get(done, b.s - 1).r, b.s - c.s - 1) AND {over} <= get(b.l, c.e - b.s - 1))"
-    as_bytes = f"transform(sequence(1, octet_length(substring(word, b.e, 1))), k -> CAST(conv(substring(hex(encode(substring(word, b.e, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + {m.first_byte})"
-    longer = f"concat(done, array(named_struct('ids', concat(coalesce(get(done, b.s - 1).ids, CAST(array() AS array<int>)), IF(b.id >= 0, array(b.id), {as_bytes})), 'r', b.r)))"
-    folded = f"aggregate(g, {first}, (done, b) -> IF(size(done) >= b.e, done, IF(coalesce({barred}, false), done, {longer})), done -> get(done, size(done) - 1).ids)"
+    edges = spans.join(F.broadcast(piece_table(spark, path)), "piece", "left").filter("id IS NOT NULL OR e = s + 1")
+    # An edge in one number (end, start, id; no id for a character without a piece), and its merges.
+    edge = F.struct(F.expr("shiftleft(CAST(e AS bigint), 40) + shiftleft(CAST(s AS bigint), 24) + coalesce(id, 16777215L)").alias("k"), F.coalesce("merges", F.array(F.lit(_END), F.lit(_END))).alias("m"))
+    lattice = edges.groupBy("w", "word", "n").agg(F.sort_array(F.collect_list(edge)).alias("g"))
+    unpacked = "transform(g, (x, n) -> named_struct('n', n, 'e', CAST(shiftright(x.k, 40) AS int), 's', CAST(shiftright(x.k, 24) & 65535 AS int), 'id', CAST(x.k & 16777215 AS int), 'm', x.m))"
+    # ``done`` holds for each place up to now the number of the best path's last edge. Edge a before it and edge b are barred if
+    # an edge c over their border could be merged before the part of a, and no later than the part of b, that it takes is merged.
+    a, over = "get(z.g, get(done, b.s - 1))", "get(c.m, 2 * (c.e - c.s) + b.s - c.s - 1)"
+    barred = f"exists(z.h, c -> c.s < b.s AND c.e > b.s AND c.e <= b.e AND {a}.s <= c.s AND {over} < get({a}.m, b.s - {a}.s + b.s - c.s - 1) AND {over} <= get(b.m, c.e - b.s - 1))"
+    done = f"aggregate(z.g, CAST(array() AS array<int>), (done, b) -> IF(size(done) >= b.e OR b.s > 0 AND {barred}, done, concat(done, array(b.n))))"
+    # Back from the last place: the edges of its path.
+    path = "aggregate(reverse(sequence(1, size(y.done))), CAST(array() AS array<int>), (path, e) -> IF(size(path) = 0 OR get(y.g, get(path, 0)).s = e, concat(array(get(y.done, e - 1)), path), path))"
+    as_bytes = f"transform(sequence(1, octet_length(substring(word, t.e, 1))), k -> CAST(conv(substring(hex(encode(substring(word, t.e, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + {m.first_byte})"
+    ids = f"flatten(transform(transform({path}, k -> get(y.g, k)), t -> IF(t.id < 16777215, array(t.id), {as_bytes})))"
+    folded = f"get(transform(transform(transform(array({unpacked}), g -> named_struct('g', g, 'h', filter(g, c -> c.e > c.s + 1))), z -> named_struct('g', z.g, 'done', {done})), y -> {ids}), 0)"
     return lattice.select("word", "n", F.expr(folded).alias("ids"))
 
 
@@ -245,7 +252,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield from merged().combine_chunks().to_batches(max_chunksize=1 << 16)
 
-    counted = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = common.written(rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     encoded = common.written(encode_words(counted, path), "words")
     # Counts in bins of eight for each power of two: a few hundred rows at any size.
     bins = sorted(((r["bin"], r["words"], r["chars"]) for r in encoded.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("words"), F.sum(F.col("n") * F.length("word")).alias("chars")).collect()), reverse=True)
