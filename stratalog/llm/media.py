@@ -1,9 +1,11 @@
 """Texts as media: WAV storage, short-time Fourier transforms and fingerprints of spectral-peak pairs.
 
 The bytes of a text, padded with zeros to a positive multiple of 64, become 8-bit samples of a WAV file written by the wave
-module. The stored file is read back; features come from what was read. Frames of 512 samples are windowed and
-transformed; in each of three bands the strongest bin is a peak. Each peak is paired with the peaks of the next frame.
-A fingerprint is an array of codes: frame time, both bins, and their distance in frames.
+module. The stored file is read back; features come from what was read. Frames of 512 samples that begin every 256 samples
+are windowed and transformed. A bin is a peak if it is the strongest of its band in its frame, stronger than both bins beside it
+and no weaker than the same bin in the frames before and after. Each peak is paired with the first peaks that follow it,
+of any band, 1 to 3 frames later. A fingerprint is an array of codes: time of the first peak, both bins, and their distance
+in frames.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import io
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,11 @@ from pyspark.sql import functions as F
 
 from stratalog.llm import common
 
-RATE, FRAME, BANDS, UNIT = 8000, 512, ((2, 32), (32, 96), (96, 257)), 64
+RATE, FRAME, STRIDE, BANDS, UNIT = 8000, 512, 256, ((2, 32), (32, 96), (96, 257)), 64
+#: Peaks that a peak is paired with, at most, and how many frames later they are at most.
+FAN, REACH = 3, 3
+#: Frames transformed at once.
+_AT_ONCE = 2048
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -44,28 +51,68 @@ def from_wav(stored: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-def fingerprint(samples: bytes) -> np.ndarray:
-    """Codes frame << 32 | bin << 20 | next bin << 8 | 1 in order of time; a single frame is paired with itself (distance 0)."""
+def spectra(samples: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Magnitudes of the frames, some at a time with the number of the first; the last frame is filled up with silence."""
     signal = np.frombuffer(samples, np.uint8)
-    frames = -(-len(signal) // FRAME)
-    peaks = np.empty((frames, len(BANDS)), np.int64)
-    for first in range(0, frames, 2048):  # long texts take bounded memory
-        part = signal[first * FRAME : (first + 2048) * FRAME].astype(np.float32) - 128
-        part = np.pad(part, (0, -len(part) % FRAME)).reshape(-1, FRAME)
-        spectrum = np.abs(np.fft.rfft(part * _WINDOW, axis=1))
-        for k, (low, high) in enumerate(BANDS):
-            peaks[first : first + len(part), k] = low + spectrum[:, low:high].argmax(axis=1)
-    if frames == 1:
-        return (peaks[0] << 20) | (peaks[0] << 8)
-    times = np.arange(frames - 1)[:, None]
-    return ((times << 32) | (peaks[:-1] << 20) | (peaks[1:] << 8) | 1).reshape(-1)
+    frames = max(1, -(-(len(signal) - FRAME) // STRIDE) + 1)
+    for first in range(0, frames, _AT_ONCE):
+        n = min(_AT_ONCE, frames - first)
+        part = signal[first * STRIDE : (first + n - 1) * STRIDE + FRAME].astype(np.float32) - 128
+        part = np.pad(part, (0, (n - 1) * STRIDE + FRAME - len(part)))
+        yield first, np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(part, FRAME)[::STRIDE] * _WINDOW, axis=1)).astype(np.float32)
+
+
+def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and bins of all peaks, by frame, then bin."""
+    at, bins = [], []
+    before = np.zeros((1, FRAME // 2 + 1), np.float32)
+    held: tuple[int, np.ndarray] | None = None
+
+    def found(first: int, mag: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+        all_rows = np.concatenate([before, mag, after])
+        rows = np.arange(len(mag))
+        for low, high in BANDS:
+            k = low + mag[:, low:high].argmax(axis=1)
+            top = mag[rows, k]
+            ok = (top > mag[rows, k - 1]) & (top > np.where(k + 1 < mag.shape[1], mag[rows, np.minimum(k + 1, mag.shape[1] - 1)], -1))
+            ok &= (top >= all_rows[rows, k]) & (top >= all_rows[rows + 2, k])
+            at.append(first + rows[ok])
+            bins.append(k[ok])
+
+    for first, mag in spectra(samples):
+        if held is not None:
+            found(*held, before, mag[:1])
+            before = held[1][-1:]
+        held = first, mag
+    found(*held, before, np.zeros_like(before))
+    times, places = np.concatenate(at), np.concatenate(bins)
+    order = np.lexsort((places, times))
+    return times[order].astype(np.int64), places[order].astype(np.int64)
+
+
+def fingerprint(samples: bytes) -> np.ndarray:
+    """Codes frame << 32 | bin << 20 | later bin << 8 | frames between, by frame, bin and order of the later peaks.
+
+    Each peak is paired with the first ``FAN`` peaks in the ``REACH`` frames after its own. Where no two peaks can be paired, as
+    in a single frame, each is paired with itself, 0 frames apart.
+    """
+    times, bins = peaks(samples)
+    first = np.searchsorted(times, times, side="right")
+    last = np.minimum(first + FAN, np.searchsorted(times, times + REACH, side="right"))
+    counts = last - first
+    if not counts.any():
+        return (times << 32) | (bins << 20) | (bins << 8)
+    i = np.repeat(np.arange(len(times)), counts)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+    return (times[i] << 32) | (bins[i] << 20) | (bins[j] << 8) | (times[j] - times[i])
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = False) -> DataFrame:
     """One row per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, fingerprint.
 
     ``media`` adds the stored WAV bytes. Null text counts as empty: its payload is 64 zero bytes. Equal texts give equal
-    values; ids are not used, so null or repeated ids are kept as they are. An empty table gives no row.
+    values; ids are not used, so null or repeated ids are kept as they are. Very long texts are transformed part by part. A text without
+    a peak has an empty fingerprint. An empty table gives no row.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
