@@ -3,7 +3,8 @@
 The kernel of two texts is the mean over n of their common distinct character n-grams, n = 1 to 3, over the geometric mean
 of their numbers of distinct n-grams. Texts are compared with a few landmark texts only (Nyström); one-versus-rest
 kernel ridge regression on those features gives a margin for each language. A batch of texts becomes a presence matrix over
-the landmarks' n-grams, and all kernels and margins of the batch are matrix products.
+the landmarks' n-grams, and all kernels and margins of the batch are matrix products. Letters of all scripts are told apart:
+n-grams of code points are hashed into 2^21 places, where two may rarely share one.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm import common
 
-#: Landmark texts of each language, labelled rows to learn from, and letters told apart (others share one class).
-LANDMARKS_EACH, SAMPLE_DOCS, LETTERS = 12, 1200, 125
-ORDERS = 3
+#: Landmark texts and labelled rows to learn from, of each language at most; landmarks are of so many characters, if there are any.
+LANDMARKS_EACH, SAMPLE_EACH, LANDMARK_CHARS = 12, 300, 20_000
+ORDERS, PLACE_BITS = 3, 21
 _LETTER = re.compile(r"[^\W\d_]")
-_C = LETTERS + 3  # 0: no letter, 1: a letter not among the landmarks' letters
+#: A number for each letter; whatever is no letter shares 0.
+_CLASS = np.array([k if chr(k).isalpha() else 0 for k in range(0x110000)], np.uint32)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -31,10 +33,9 @@ def _codes(text: str) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """``classes``: class of each character up to 0x3000; ``columns``: presence column of each n-gram code, or -1."""
+    """``columns``: presence column of each n-gram's place, or -1."""
 
     languages: list[str]
-    classes: np.ndarray
     columns: list[np.ndarray]
     landmarks: list[np.ndarray]  # for each n: presence of n-grams in landmarks
     sizes: np.ndarray  # distinct n-grams of landmarks, by n
@@ -42,17 +43,18 @@ class LanguageModel:
     heat: float = 4.0
 
     def grams(self, text: str) -> list[np.ndarray]:
-        """Distinct n-gram codes for each n over the whole text, with a border at either end."""
+        """Places of the distinct n-grams for each n over the whole text, with a border at either end."""
         codes = _codes(text)
-        c = np.zeros(len(codes) + 2, np.int32)
-        c[1:-1] = self.classes[np.minimum(codes, len(self.classes) - 1)]
-        out, gram = [], c
+        c = np.zeros(len(codes) + 2, np.uint32)
+        c[1:-1] = _CLASS[codes]
+        out, gram, seen = [], c, _scratch(1 << PLACE_BITS)
+        order = np.arange(len(c), dtype=np.int32)
         for n in range(1, ORDERS + 1):
             if n > 1:
-                gram = gram[:-1] * _C + c[n - 1 :]
-            seen = _scratch(_C**n)
-            seen[gram] = np.arange(len(gram), dtype=np.int32)
-            out.append(gram[seen[gram] == np.arange(len(gram), dtype=np.int32)])
+                gram = gram[:-1] * np.uint32(0x01000193) + c[n - 1 :]
+            place = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - PLACE_BITS)
+            seen[place] = order[: len(place)]
+            out.append(place[seen[place] == order[: len(place)]])
         return out
 
     def kernels(self, texts: list[str]) -> np.ndarray:
@@ -91,20 +93,12 @@ def _scratch(n: int) -> np.ndarray:
 
 
 def landmark_model(languages: list[str], texts: list[str]) -> LanguageModel:
-    """A model without weights: the landmarks' letters and n-grams."""
-    counts: dict[int, int] = {}
-    for t in texts:
-        values, n = np.unique(_codes(t), return_counts=True)
-        for v, k in zip(values.tolist(), n.tolist(), strict=True):
-            counts[v] = counts.get(v, 0) + k
-    classes = np.array([int(chr(v).isalpha()) if not 0xD800 <= v < 0xE000 else 0 for v in range(0x3000)] + [1], np.int32)
-    letters = sorted((v for v in counts if v < 0x3000 and classes[v]), key=lambda v: (-counts[v], v))[:LETTERS]
-    classes[letters] = np.arange(2, 2 + len(letters))
-    model = LanguageModel(languages, classes, [], [], np.zeros((len(texts), ORDERS)))
+    """A model without weights: the landmarks' n-grams."""
+    model = LanguageModel(languages, [], [], np.zeros((len(texts), ORDERS)))
     sets = [model.grams(t) for t in texts]
     for n in range(ORDERS):
         known = np.unique(np.concatenate([s[n] for s in sets])) if sets else np.zeros(0, np.int64)
-        columns = np.full(_C ** (n + 1), -1, np.int32)
+        columns = np.full(1 << PLACE_BITS, -1, np.int32)
         columns[known] = np.arange(len(known))
         present = np.zeros((len(sets), len(known)), np.float32)
         for k, s in enumerate(sets):
@@ -132,43 +126,46 @@ def ridge(model: LanguageModel, landmark_texts: list[str], kernels: np.ndarray,
     return model
 
 
-def fit_language(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE_DOCS, each: int = LANDMARKS_EACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model of at most ``sample`` labelled documents (smallest hashed ids), at most ``each`` of a language as landmarks.
+def fit_language(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE_EACH, each: int = LANDMARKS_EACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """A model of at most ``sample`` labelled rows of each language, of which at most ``each`` are landmarks.
 
-    Rows without text or language are not learned from; without any, every text is ``und``.
+    Rows are taken by the order of a hash of id and text, so repeated and null ids are rows like others. Rows without text or
+    language are not learned from; without any, every text is ``und``. A language is learned however rare it is.
     """
-    known = docs.filter(learn) if learn is not None else docs
-    known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    # At most ``sample`` ids and ``each`` landmarks of a language: broadcast and collected at any size of the input.
-    chosen = sorted({(r["h"], r["id"]) for r in known.select("id", F.xxhash64("id").alias("h")).filter("id IS NOT NULL").orderBy("h", "id").limit(sample).collect()})
-    if not chosen:
-        return LanguageModel([], np.zeros(1), [], [], np.zeros((0, ORDERS)))
     spark = docs.sparkSession
-    rows = common.written(known.join(F.broadcast(spark.createDataFrame([(i,) for _, i in chosen], "id long")), "id"), "language-sample")
-    langs: dict[int, str] = {}
-    for r in sorted(rows.select("id", "lang").distinct().collect(), key=lambda r: (r["id"], r["lang"])):
-        langs.setdefault(r["id"], r["lang"])
-    by: dict[str, list[int]] = {}
-    for _, i in chosen:
-        by.setdefault(langs[i], []).append(i)
-    marks = [i for ids in by.values() for i in ids[:each]]
-    texts: dict[int, str] = {}
-    for r in rows.filter(F.col("id").isin(marks)).select("id", "text").collect():
-        texts[r["id"]] = min(r["text"], texts.get(r["id"], r["text"]))
-    landmark_texts = [texts[i] for i in sorted(marks)]
-    model = landmark_model(sorted(by), landmark_texts)
+    known = docs.filter(learn) if learn is not None else docs
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    # One row for each language.
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    # About twice the rows that are needed, by a threshold on the hash: no language meets in one task before that.
+    few = (F.col("h").cast("double") / 2.0**63 + 1) / 2 < 2.0 * sample / F.col("rows")
+    picked = common.written(known.join(F.broadcast(counts), "lang").filter(few).drop("rows"), "language-picked")
+    ranked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= sample)
+    by_size = Window.partitionBy("lang").orderBy(F.char_length("text") > LANDMARK_CHARS, "rank")
+    rows = common.written(ranked.withColumn("mark", F.row_number().over(by_size) <= each), "language-sample")
+    # At most ``each`` texts of a language.
+    marks = sorted(rows.filter("mark").select("lang", "rank", "text").collect())
+    if not marks:
+        return LanguageModel([], [], [], np.zeros((0, ORDERS)))
+    landmark_texts = [r["text"] for r in marks]
+    model = landmark_model(sorted({r["lang"] for r in marks}), landmark_texts)
     shared = spark.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = shared.value.kernels(common.texts_of(batch, "text"))
-        return pa.RecordBatch.from_pydict({"id": batch.column("id"), "lang": batch.column("lang"), "k": pa.array(list(k), pa.list_(pa.float64()))})
+        return pa.RecordBatch.from_pydict({"rank": batch.column("rank"), "lang": batch.column("lang"), "k": pa.array(list(k), pa.list_(pa.float64()))})
 
-    got = sorted(common.map_text(rows, "text", kernel, "id long, lang string, k array<double>").collect(), key=lambda r: (r["id"], r["lang"], r["k"]))
+    # At most ``sample`` rows of a language, with a number for each landmark.
+    got = sorted(common.map_text(rows.select("rank", "lang", "text"), "text", kernel, "rank int, lang string, k array<double>").collect())
     return ridge(model, landmark_texts, np.array([r["k"] for r in got]), [r["lang"] for r in got])
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, lang_pred, score. Null texts and texts without a letter are ``und`` with score 0."""
+    """One row per row: doc_id, lang_pred, score. Null texts and texts without a letter are ``und`` with score 0.
+
+    Ids are only carried, null and repeated ones too. Texts are read whole, however long: a kernel takes memory in proportion
+    to one text. An empty table gives no row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
