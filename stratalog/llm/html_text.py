@@ -11,6 +11,7 @@ import functools
 import html
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 from stratalog.llm import common
 from stratalog.llm.crf import Crf
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+_TAG_MARK = re.compile(r"[>\"']")
+#: Quoted values in a tag, at most; a tag with more ends at its first ``>``.
+_QUOTED = 400
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What holds no tags, and reaches to the end of the page if it is not closed; and what holds tags but no text of the page.
-_RAW = frozenset("script style textarea title iframe".split())
+_RAW = frozenset("script style textarea title".split())
 _HIDDEN = frozenset("noscript template svg select option".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What an opening tag closes, if it is the innermost block of that kind.
@@ -70,10 +74,47 @@ def _hints(names: str) -> tuple[str, ...]:
     return tuple(k for k, p in _HINT.items() if p.search(names))
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup in order: begin, end, name of a tag in lower case (or "", or "cdata"), whether it closes, and its attributes.
+
+    The reader goes forward only: it remembers which marks do not come any more, so that broken pages take linear time.
+    """
+    at, gone = 0, {m: page.rfind(m) for m in (">", '"', "'", "-->", "]]>")}
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3 if gone["-->"] >= at + 4 else len(page)
+            yield at, end, "", False, ""
+        elif page.startswith("<![CDATA[", at) and gone["]]>"] >= at + 9:
+            end = page.find("]]>", at) + 3
+            yield at, end, "cdata", False, page[at + 9 : end - 3]
+        elif gone[">"] < at:
+            return
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, "", False, ""
+        elif m := _NAME.match(page, at):
+            end = 0
+            mark = _TAG_MARK.search(page, m.end())
+            for _ in range(_QUOTED):
+                if mark is None or mark[0] == ">":
+                    end = mark.end() if mark else 0
+                    break
+                if gone[mark[0]] == mark.start():
+                    break
+                mark = _TAG_MARK.search(page, page.find(mark[0], mark.end()) + 1)
+            # A quote that is not closed does not hide the rest of the page.
+            end = end or page.find(">", at) + 1
+            yield at, end, m[1].lower(), page[at + 1] == "/", page[m.end() : end - 1]
+        else:
+            end = at + 1
+        at = end
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Unclosed, stray and crossed tags are tolerated; a lone ``<`` is text."""
     out: list[Block] = []
     stack = [_Open("", ())]
+    outer: list[str] = []  # the open blocks and hidden elements
     count: dict[str, int] = {}
     held: list[str] = []
     linked = at = unseen = 0
@@ -83,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(held).split())
         if text:
             top = stack[-1]
-            inner = next((o.tag for o in reversed(stack) if o.tag in _BLOCK), "")
+            inner = next((t for t in reversed(outer) if t in _BLOCK), "")
             out.append(Block(text, top.tags_in, top.hints_in, inner, min(1.0, linked / len(text)), len(stack)))
         held.clear()
         linked = 0
@@ -103,6 +144,8 @@ def blocks(page: str) -> list[Block]:
         own = _hints(names) if names else ()
         stack.append(_Open(tag, own, top.tags_in | {tag}, top.hints_in.union(own) if own else top.hints_in))
         count[tag] = count.get(tag, 0) + 1
+        if tag in _BLOCK or tag in _HIDDEN:
+            outer.append(tag)
         unseen += tag in _HIDDEN
 
     def pop_to(tag: str) -> None:
@@ -110,13 +153,15 @@ def blocks(page: str) -> list[Block]:
         while True:
             gone = stack.pop().tag
             count[gone] -= 1
+            if gone in _BLOCK or gone in _HIDDEN:
+                outer.pop()
             unseen -= gone in _HIDDEN
             if gone == tag:
                 return
 
     def around() -> str:
         """The innermost block or hidden element."""
-        return next((o.tag for o in reversed(stack) if o.tag in _BLOCK or o.tag in _HIDDEN), "")
+        return outer[-1] if outer else ""
 
     def hidden_by() -> str:
         return next((o.tag for o in reversed(stack) if o.tag in _HIDDEN or o.tag == "foreignobject"), "") if unseen else ""
@@ -128,19 +173,17 @@ def blocks(page: str) -> list[Block]:
         if hidden_by() == "select" and tag in ("select", "input", "textarea") or hidden_by() == "svg" and tag in _BLOCK:
             pop_to(hidden_by())
 
-    skip_until, m = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < skip_until:
+    skip_until, last_frame = 0, page.lower().rfind("</iframe")
+    for begin, end, tag, closes, attributes in tokens(page):
+        if begin < skip_until:
             continue
-        put(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:-3])
+        put(page[at:begin])
+        at = end
+        if tag in ("", "cdata"):
+            if tag:
+                put(attributes)
             continue
-        tag = name.lower()
-        if unseen and not m[1]:
+        if unseen and not closes:
             close_hidden(tag)
         elif unseen and count.get(tag):
             # The end of a parent closes the hidden elements in it.
@@ -152,13 +195,16 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag == "br" and not unseen:
             held.append(" ")
-        if m[1]:
+        if closes:
             if count.get(tag):
                 pop_to(tag)
             continue
-        if tag in _RAW and not (hidden_by() == "svg" and m[3].endswith("/")):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = skip_until = end.end() if end else len(page)
+        # A frame without an end holds nothing.
+        if tag in _RAW and not (hidden_by() == "svg" and attributes.endswith("/")) or tag == "iframe" and begin < last_frame:
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = skip_until = close.end() if close else len(page) if tag in _RAW else at
+            continue
+        if tag == "iframe":
             continue
         if tag in _VOID:
             continue
@@ -168,8 +214,8 @@ def blocks(page: str) -> list[Block]:
         for closed in _CLOSES.get(tag, ()):
             if around() == closed:
                 pop_to(closed)
-        if not m[3].endswith("/"):
-            push(tag, m[3])
+        if not attributes.endswith("/"):
+            push(tag, attributes)
     put(page[at:])
     flush()
     return out
@@ -302,7 +348,8 @@ def main_blocks(page: str, model: Crf) -> list[str]:
 def extract_text(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row: page_id, url, text, n_chars. Null html counts as empty; a page without main text has an empty text.
 
-    Ids and addresses are only carried, null and repeated ones too. An empty table gives no row.
+    Ids and addresses are only carried, null and repeated ones too. Pages are read whole, in time and memory in proportion to
+    their length, broken markup too. An empty table gives no row.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
