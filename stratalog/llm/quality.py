@@ -2,8 +2,8 @@
 
 Each line is described by its characters and words and by those of the lines around it. The field labels lines good or bad;
 in training, lines of good documents are good, and those of bad documents bad unless a first field finds them unlike bad ones.
-Length-weighted forward-backward marginals of a document's lines, and few statistics of them, give its score by a logistic
-model. All of it is fitted on a bounded sample of labelled documents.
+Length-weighted forward-backward marginals of a document's lines, and nothing else of it, give its score by a logistic
+calibration. All of it is fitted on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from stratalog.llm import common
 from stratalog.llm.crf import Crf
 
-#: Labelled documents to learn from, at most.
-SAMPLE_DOCS = 2000
+#: Labelled documents to learn from, at most, and the lines that one of them has, at most.
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 5000
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 2
@@ -68,27 +68,25 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, 0.5 * before, 0.5 * after, is_first[:, None], is_last[:, None], np.ones((len(own), 1))], axis=1), size, bounds
 
 
-def document_features(p: np.ndarray, size: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Of each text: length-weighted share of bad lines, share by count, worst line, length-weighted line features."""
+def document_features(p: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each text, from the marginals of its lines alone: length-weighted mean, its root, weighted share of lines over one half."""
     weight = size + 1.0
     total = np.add.reduceat(weight, bounds[:-1])
     mean = lambda v: np.add.reduceat(v * weight, bounds[:-1]) / total
     bad = mean(p)
-    columns = [bad, np.add.reduceat(p, bounds[:-1]) / np.diff(bounds), np.maximum.reduceat(p, bounds[:-1]), np.sqrt(bad), np.log1p(total) / 10, np.minimum(np.diff(bounds), 50) / 50]
-    return np.stack(columns + [mean(x[:, j]) for j in range(WIDTH)] + [np.ones(len(total))], axis=1)
+    return np.stack([bad, np.sqrt(bad), mean(p > 0.5), np.ones(len(total))], axis=1)
 
 
 class QualityModel:
-    """A field over lines and a logistic model over documents."""
+    """A field over lines, and a logistic calibration of what its marginals say of a document."""
 
-    def __init__(self, field: Crf, weights: np.ndarray, prior: float):
-        self.field, self.weights, self.prior = field, weights, prior
+    def __init__(self, field: Crf, weights: np.ndarray):
+        self.field, self.weights = field, weights
 
     @classmethod
     def fit(cls, x: np.ndarray, size: np.ndarray, bounds: np.ndarray, good: np.ndarray) -> QualityModel:
         if not len(good):
-            return cls(Crf(np.zeros(3 * WIDTH + 3), np.zeros((2, 2))), np.zeros(WIDTH + 7), 0.5)
-        prior = (good.sum() + 1) / (len(good) + 2)
+            return cls(Crf(np.zeros(3 * WIDTH + 3), np.zeros((2, 2))), np.zeros(4))
         share = np.where(good == 1, 1, max(1.0, good.sum() / max(1, (good == 0).sum())))
         of = np.repeat(good, np.diff(bounds))
         y = (of == 0).astype(np.int64)
@@ -97,31 +95,33 @@ class QualityModel:
         first = Crf.fit(x, y, alone, line_share / np.repeat(np.diff(bounds), np.diff(bounds)))
         y = y * (first.marginals(x, alone) > 0.5)
         field = Crf.fit(x, y, bounds, share)
-        d = document_features(field.marginals(x, bounds), size, x, bounds)
+        d = document_features(field.marginals(x, bounds), size, bounds)
         w, m, v = np.zeros(d.shape[1]), 0.0, 0.0
         for k in range(1, 401):
             slope = d.T @ (good - 1 / (1 + np.exp(-d @ w))) / len(good) - 1e-4 * w
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             w = w + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
-        return cls(field, w, float(prior))
+        return cls(field, w)
 
     def score(self, column: pa.Array) -> np.ndarray:
         x, size, bounds = line_features(column)
-        d = document_features(self.field.marginals(x, bounds), size, x, bounds)
+        d = document_features(self.field.marginals(x, bounds), size, bounds)
         return 1 / (1 + np.exp(-np.clip(d @ self.weights, -50, 50)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A model of at most ``sample`` labelled documents, those of the smallest hashed ids; ``learn`` filters the labels.
 
-    Only line features come to the driver. Null labels are left out; of repeated labels for an id the smallest counts.
-    Without labelled documents every score is 0.5.
+    Only line features come to the driver. Null labels are left out; of repeated labels for an id the smallest counts, and of
+    repeated rows the text of the smallest hash. Null ids and documents of more than ``SAMPLE_LINES`` lines are not learned
+    from (they are scored like others). Without labelled documents, as with empty tables, every score is 0.5.
     """
     known = labels if learn is None else labels.filter(learn)
     chosen = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("good")).filter(F.col("good").isNotNull())
     # At most ``sample`` rows: broadcast at any size of the input.
     chosen = chosen.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.filter(F.regexp_count("text", F.lit("\n")) < SAMPLE_LINES).groupBy("id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, size, bounds = line_features(batch.column("text"))
@@ -135,7 +135,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
-    """The rows (id, text) with a score from 0 to 1 for each; null text counts as empty, an empty text is one empty line."""
+    """One row per row: doc_id and a score from 0 to 1; null text counts as empty, an empty text is one empty line.
+
+    Ids are only carried, null and repeated ones too. Texts are read whole, however long. An empty table gives no row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -146,7 +149,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows whose score is at least ``least``, with all their columns."""
+    """The rows whose score is at least ``least``, with all their columns, repeated rows too; an empty table gives no row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
