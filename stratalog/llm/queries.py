@@ -60,7 +60,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+    return find_pii(table(spark, sf_dir, "documents"), redacted=False)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
