@@ -78,6 +78,7 @@ class Database:
     def insert(self, pred: str, data: Any, mapping: dict[str, str | Column] | None = None) -> DataFrame:
         """Adds base facts (equal ones once) and returns them with their ids in column ``fid``."""
         r = self._relation(pred)
+        self.lowering.keys.pop(r.pred.name, None)
         rows = written(as_facts(self.spark, r.pred, data, self.types, mapping))
         new = r.add(rows, True)
         if self.tracked:
@@ -94,13 +95,20 @@ class Database:
                     self.supports.settle(lost)
         return rows.select(*r.names, fact_id(r.names).alias("fid"))
 
-    def bind(self, pred: str, table: DataFrame, mapping: dict[str, str | Column] | None = None) -> None:
-        """Adds the rows of a table as base facts. The first table of a predicate is used in place, not copied."""
+    def bind(self, pred: str, table: DataFrame, mapping: dict[str, str | Column] | None = None, key: tuple[str, ...] = ()) -> None:
+        """Adds the rows of a table as base facts. The first table of a predicate is used in place, not copied.
+
+        ``key`` names fields that no two rows share and that are never null. The caller answers for it: such rows are not
+        deduplicated before joins, and joins on these fields are by plain equality.
+        """
         r = self._relation(pred)
         if r.version or self.tracked:
+            self.lowering.keys.pop(r.pred.name, None)
             self.insert(pred, table, mapping)
         else:
-            r.grow(as_facts(self.spark, r.pred, table, self.types, mapping))
+            if key:
+                self.lowering.keys[r.pred.name] = frozenset(key)
+            r.grow(as_facts(self.spark, r.pred, table, self.types, mapping, distinct=not key))
 
     def facts(self, pred: str) -> DataFrame:
         """Raw facts of a predicate, before folding."""
@@ -201,6 +209,7 @@ class Database:
     def _fire(self, rule: RuleIr) -> DataFrame | None:
         head = self.relations[rule.head.predicate.name]
         if not self.tracked:
+            self.lowering.keys.pop(head.pred.name, None)
             rows = self._new_bindings(rule.name, rule.body)
             return None if rows is None else head.add(self._head(rule, rows, []), False)
         clauses = range(len(rule.body.clauses))
@@ -255,7 +264,7 @@ class Database:
     def run_rules(self, timeout: float | None = None) -> None:
         """Rounds until no stage is productive, or until ``timeout`` seconds have passed."""
         deadline = None if timeout is None else time.monotonic() + timeout
-        self._close()
+        self._close(deadline)
         for _ in range(self.max_rounds):
             if deadline is not None and time.monotonic() >= deadline:
                 return
@@ -287,8 +296,11 @@ class Database:
                 out.append((base, step, e.predicate.name))
         return out
 
-    def _close(self) -> None:
-        """Transitive closures from scratch by doubling: as many rounds as the logarithm of the longest path."""
+    def _close(self, deadline: float | None = None) -> None:
+        """Transitive closures from scratch by doubling: as many rounds as the logarithm of the longest path.
+
+        Past the deadline it stops between rounds; the rules have then seen nothing, and a later run goes on from these facts.
+        """
         if self.tracked:
             return
         for base, step, edge in self._closures():
@@ -299,6 +311,8 @@ class Database:
             new = p.add(first, False)
             x, y = p.names
             while new is not None:
+                if deadline is not None and time.monotonic() >= deadline:
+                    return
                 # Every path that is new by now has a new part: new with all, and all with new.
                 every = p.facts
                 right = lambda d: d.select(F.col(x).alias("_m"), F.col(y).alias("_z"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 import operator
 import re
 from typing import Any
@@ -23,7 +24,21 @@ BUILTIN: dict[str, str] = {
 _RANGES = {f"{s}{n}": ((0, 2**n - 1) if s == "u" else (-(2 ** (n - 1)), 2 ** (n - 1) - 1)) for s in "ui" for n in (8, 16, 32, 64)}
 _RANGES |= {"usize": _RANGES["u64"], "isize": _RANGES["i64"]}
 _HELD = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
-_OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.FloorDiv: operator.floordiv, ast.Div: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg, ast.LShift: operator.lshift, ast.RShift: operator.rshift, ast.BitAnd: operator.and_, ast.BitOr: operator.or_, ast.BitXor: operator.xor}
+
+
+def _divided(a: Any, b: Any) -> Any:
+    """Division; of integers, truncated toward zero."""
+    if isinstance(a, float) or isinstance(b, float):
+        return a / b
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+def _left_over(a: Any, b: Any) -> Any:
+    """The remainder of the division, with the sign of the first number."""
+    return math.fmod(a, b) if isinstance(a, float) or isinstance(b, float) else a - b * _divided(a, b)
+
+
+_OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: _divided, ast.Mod: _left_over, ast.USub: operator.neg, ast.LShift: operator.lshift, ast.RShift: operator.rshift, ast.BitAnd: operator.and_, ast.BitOr: operator.or_, ast.BitXor: operator.xor}
 
 
 class Types:
@@ -58,8 +73,11 @@ class Types:
         return None if bits and not -(2 ** (bits - 1)) <= value < 2 ** (bits - 1) else F.lit(value).cast(kind)
 
 
+_PARTS = re.compile(r"""(?P<quoted>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*(?:::\w+)+)|[A-Za-z_]\w*|(?P<number>\d[\d_]*(?:\.\d[\d_]*(?:[eE][+-]?\d+)?|\.(?!\w))?)(?P<kind>[ui](?:8|16|32|64|size)|f32|f64)?""")
+
+
 def constant(text: str, known: dict[str, Any]) -> Any:
-    """The value of a constant: a registered name, a type's MAX or MIN, or arithmetic on integers, strings and names."""
+    """The value of a constant: a registered name, a type's MAX or MIN, or arithmetic on numbers, strings and names."""
     if text in known:
         return known[text]
     m = re.fullmatch(r"(?:::)?(?:std::|core::)?(\w+)::(MAX|MIN)", text)
@@ -84,12 +102,18 @@ def constant(text: str, known: dict[str, Any]) -> Any:
             return [value(x) for x in node.elts]
         raise UnknownName(f"constant {text} is not registered")
 
-    plain = re.sub(r"\b(\d[\d_]*)(?:[ui](?:8|16|32|64|size)|f32|f64)\b", r"\1", text)
     names = {k.replace(":", "_"): k for k in known}
-    plain = re.sub(r"\b\w+(?:::\w+)+", lambda m: m[0].replace(":", "_"), plain)
+
+    def plainly(m: re.Match) -> str:
+        """Numbers lose their type's suffix and names their colons; quoted text stays as it is."""
+        if m["number"]:
+            return m["number"].replace("_", "") + (".0" if (m["kind"] or "").startswith("f") and "." not in m["number"] else "")
+        return m[0].replace(":", "_") if m["name"] else m[0]
+
+    plain = _PARTS.sub(plainly, text)
     try:
         return value(ast.parse(plain.strip(), mode="eval"))
-    except SyntaxError:
+    except (SyntaxError, ZeroDivisionError):
         raise UnknownName(f"constant {text} is not registered") from None
 
 

@@ -2,7 +2,7 @@
 
 Catalyst chooses join strategies, pushes filters down and prunes columns. What it cannot know is done here: constants and
 repeated variables become filters on the scan, columns that nobody needs are dropped before the join and the rest
-deduplicated, clauses that bind nothing new become semi-joins, and the order never multiplies where it could join.
+deduplicated unless a key is left, clauses that bind nothing new become semi-joins, and the order never multiplies where it could join.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from stratalog.plans.ir import Body, Bound
 class Lowering:
     def __init__(self, types: Types, constants: dict[str, Any]):
         self.types, self.constants = types, constants
+        #: Fields by predicate that no two rows share and that are never null.
+        self.keys: dict[str, frozenset[str]] = {}
 
     def value(self, c: Const, type_name: str):
         return self.types.literal(constant(c.text, self.constants), type_name)
@@ -44,7 +46,14 @@ class Lowering:
             return out
         if not wanted:
             return rows.select(F.lit(True).alias("_any")).limit(1)
-        return out if len(wanted) == len(kinds) else out.distinct()
+        key = self.keys.get(bound.predicate.name)
+        fixed = {n for n, m in bound.columns if isinstance(m, Const)} | {first[v] for v in wanted}
+        return out if len(wanted) == len(kinds) or key and key <= fixed else out.distinct()
+
+    def _never_null(self, bound: Bound) -> set[str]:
+        """Variables of a clause that key fields bind."""
+        key = self.keys.get(bound.predicate.name, frozenset())
+        return {m.name for n, m in bound.columns if isinstance(m, Var) and n in key}
 
     def body(self, body: Body, source: Callable[[int, Bound], DataFrame], needed: list[str], carried: Callable[[int], list[str]] | None = None, first: int = 0) -> DataFrame:
         """Bindings of ``needed``; with ``carried`` also the columns that each clause carries, and not deduplicated.
@@ -63,6 +72,7 @@ class Lowering:
             parts[k] = (self.clause(c, source(k, c), own, extra), [v for v in c.variables if v in own], extra)
         out, have, extra = parts.pop(first)
         have = list(have)
+        solid = self._never_null(body.clauses[first])
         if not have and not extra:
             out = out.drop("_any") if parts else out
         started = bool(have) or bool(extra)
@@ -71,6 +81,7 @@ class Lowering:
         while parts:
             k = min(parts, key=lambda j: (not set(parts[j][1]) & set(have), not parts[j][1], j))
             rows, variables, extra = parts.pop(k)
+            solid |= self._never_null(body.clauses[k])
             shared = [v for v in variables if v in have]
             if not variables and not extra:
                 # Only the existence of a row matters.
@@ -85,7 +96,8 @@ class Lowering:
             side = rows.select(*[F.col(v).alias(f"_r_{v}") for v in variables], *extra)
             on = None
             for v in shared:
-                term = F.col(v).eqNullSafe(F.col(f"_r_{v}"))
+                # Where one side is never null, null equals nothing there.
+                term = F.col(v) == F.col(f"_r_{v}") if v in solid else F.col(v).eqNullSafe(F.col(f"_r_{v}"))
                 on = term if on is None else on & term
             if not extra and set(variables) <= set(have):
                 out = out.join(side, on, "left_semi")

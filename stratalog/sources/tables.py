@@ -11,11 +11,12 @@ from stratalog.functions.types import Types, struct_type
 from stratalog.lang.ast import Predicate
 
 
-def as_facts(spark: SparkSession, pred: Predicate, data: Any, types: Types, mapping: dict[str, str | Column] | None = None) -> DataFrame:
+def as_facts(spark: SparkSession, pred: Predicate, data: Any, types: Types, mapping: dict[str, str | Column] | None = None, distinct: bool = True) -> DataFrame:
     """Distinct facts of a predicate from a DataFrame, or from tuples, dictionaries or single values.
 
     ``mapping`` gives a column or expression for each field; without it a DataFrame's columns are taken by name, or by place
-    if the predicate is ordered and the names differ. Values are cast and range-checked.
+    if the predicate is ordered and the names differ. Values are cast and range-checked; ``distinct=False`` is for rows
+    that are known to be.
     """
     names = [n for n, _ in pred.fields]
     if not isinstance(data, DataFrame):
@@ -34,4 +35,5 @@ def as_facts(spark: SparkSession, pred: Predicate, data: Any, types: Types, mapp
     if set(mapping) != set(names):
         raise ValueError(f"{pred.name} needs a column for each of {names}")
     as_column = lambda m: F.col(m) if isinstance(m, str) else m
-    return data.select(*[types.checked(as_column(mapping[n]), f.type).alias(n) for n, f in pred.fields]).distinct()
+    rows = data.select(*[types.checked(as_column(mapping[n]), f.type).alias(n) for n, f in pred.fields])
+    return rows.distinct() if distinct else rows

@@ -294,6 +294,41 @@ def test_files(spark, tmp_path):
     assert str(parse_files(*paths)) == str(parse("P(i64)\n?q: P(x)"))
 
 
+def test_a_closure_keeps_its_timeout(spark):
+    """It stops between doublings; a later run goes on to the end."""
+    text = "edge(i64, i64)\npath(i64, i64)\na: path(x, y) <- edge(x, y)\nb: path(x, z) <- edge(x, y) & path(y, z)"
+    db = Database(spark, text)
+    n = 24
+    db.bind("edge", spark.range(n).selectExpr("id AS arg0", "id + 1 AS arg1"), key=("arg0",))
+    db.run_rules(timeout=0)
+    assert db.size("path") < n * (n + 1) // 2
+    db.run_rules()
+    assert db.size("path") == n * (n + 1) // 2
+
+
+def test_facts_by_id(spark):
+    db = Database(spark, "P(i64)\nQ{a: i64, b: String}")
+    (p,) = db.insert("P", [5]).collect()
+    db.insert("Q", [{"a": 1, "b": None}])
+    assert values(db.get("P", p["fid"])) == [(5, p["fid"])] and values(db.get("P", "none")) == []
+    assert db.arity("P") == 1 and db.arity("Q") == 2
+    assert sorted((r["predicate"], r["fact"]) for r in db.any_facts().collect()) == [("P", '{"arg0":5}'), ("Q", '{"a":1}')]
+    assert p["fid"] in {r["fid"] for r in db.any_facts().collect()}
+
+
+def test_keys_of_bound_tables(spark):
+    """A key's rows are used as they are; facts that come later are deduplicated again."""
+    n = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k long, s string")
+    db = Database(spark, "N{k: i64, s: String}\nM{k: i64, s: String}\n?q: N{k: k, s: s} & M{k: k, s: s}\n?s: N{s: s}\n?self: N{k: a, s: s} & N{k: b, s: s}")
+    db.bind("N", n, key=("k",))
+    db.bind("M", n.union(n).union(spark.createDataFrame([(None, None)], "k long, s string")))
+    assert values(db.query("q").na.fill("-")) == [(1, "a"), (2, "-"), (3, "b")]
+    assert values(db.query("self").select("a", "b")) == [(1, 1), (2, 2), (3, 3)]
+    db.insert("N", [{"k": 1, "s": "b"}, {"k": None, "s": "a"}])
+    assert values(db.query("s").na.fill("-")) == [("-",), ("a",), ("b",)]
+    assert values(db.query("self").filter("a <> b").select("a", "b")) == [(1, 3), (3, 1)]
+
+
 def test_bind_and_ranges(spark):
     db = Database(spark, "N{key: i32, name: String}\n?q: N{key: k, name: ~(\"b\")}")
     db.bind("N", spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "x int, y string"), {"key": "x", "name": "y"})

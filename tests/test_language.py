@@ -2,8 +2,10 @@
 
 import pytest
 
+from stratalog.functions.types import constant
 from stratalog.lang import errors as E
 from stratalog.lang.ast import Clause, Const, Field, Predicate, Query, Rule, Var, Wild
+from stratalog.lang.errors import UnknownName
 from stratalog.lang.parser import parse
 from stratalog.plans.ir import analyse
 
@@ -90,3 +92,18 @@ def test_unknown_names(spark):
     for text in ("p(Nope)", "p(u64^nope)", "p(u64)\n?q: p(~NOPE)", "p(u64)\nr: p(x) <- p(y) + nope"):
         with pytest.raises(E.UnknownName):
             Database(spark, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("7.0 / 2.0", 3.5), ("-7 / 2", -3), ("-7 % 2", -1), ("7.5 % 2.0", 1.5), ('"10u8"', "10u8"), ('"a::b"', "a::b"), ('"say \\"x::y\\" 3i8"', 'say "x::y" 3i8'), ("10u8 + 1_000u32", 1010), ("2f64", 2.0), ("ns::TWO * 3", 6), ("(1 << 4) | 1", 17), ("std::u8::MAX", 255)],
+)
+def test_constants(text, value):
+    got = constant(text, {"ns::TWO": 2})
+    assert got == value and type(got) is type(value)
+
+
+def test_constants_that_are_none():
+    for text in ("unknown", "1 / 0", "1 +"):
+        with pytest.raises(UnknownName):
+            constant(text, {})
