@@ -5,8 +5,6 @@ Nothing outside the subpackage imports it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.sources.shared import written  # noqa: F401  the operators take it from here
+
 #: Rows in an Arrow batch that Spark sends to Python, and bytes of text that a kernel works on at once.
 BATCH_ROWS, KERNEL_BYTES = 256, 2 << 20
 
@@ -60,23 +60,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stratalog.shared.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set("stratalog.shared.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: the rows as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

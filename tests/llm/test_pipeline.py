@@ -68,3 +68,9 @@ def test_null_and_repeated_ids(spark, tmp_path):
     family = {long, close(long), close(close(long))}
     assert order(x for x in left if x[1] not in family) == order(x for x in want if x[1] not in family)
     assert [x[0] for x in left if x[1] in family] == [4]
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
