@@ -1,7 +1,9 @@
 """A corpus pipeline: quality filter, exact and near deduplication, redaction of personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Null
-texts count as empty. Stages never read what an earlier one dropped. They decide on rows, as ids may be null or repeated.
+texts count as empty. Stages never read what an earlier one dropped. They decide on rows, as ids may be null or repeated: rows
+of null id are scored, grouped, redacted and packed like others, and of exact repeats one row stays. Texts are read whole,
+however long. Further columns of ``documents`` are left out. An empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
