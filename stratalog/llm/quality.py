@@ -32,7 +32,8 @@ WIDTH = 13
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines, with those of the lines before and after; bytes of each line; bounds of the texts in lines.
 
-    A text has one line more than line feeds, so an empty text has one empty line.
+    A text has one line more than line feeds, so an empty text has one empty line. Whether a line is the first or last counts
+    little: else a document of one line would be judged by that alone.
     """
     data, offsets = common.raw_bytes(column)
     texts = len(offsets) - 1
@@ -65,7 +66,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[is_first], after[is_last] = 0, 0
-    return np.concatenate([own, 0.5 * before, 0.5 * after, is_first[:, None], is_last[:, None], np.ones((len(own), 1))], axis=1), size, bounds
+    return np.concatenate([own, 0.5 * before, 0.5 * after, 0.25 * is_first[:, None], 0.25 * is_last[:, None], np.ones((len(own), 1))], axis=1), size, bounds
 
 
 def document_features(p: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
