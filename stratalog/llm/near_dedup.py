@@ -9,8 +9,10 @@
    ``MATCHES`` equal coordinates are confirmed on their full sets, and confirmed links joined to components.
 4. Lists whose classes now lie in one component need nothing more. The classes of all others are dealt into blocks of bounded
    size, by component or, for small components, by the hub they share. Two blocks meet if some list has classes of different
-   components in them; their full sets are then intersected by matrix products, and of the links found only those that join
-   components leave the task. So no pair is lost, and groups of copies or near misses never give a row for each pair.
+   components in them. There the prefixes' posting lists are merged, which gives the candidates; collisions in the long lists
+   are counted by binary search for these alone, and a pair is skipped once it can no longer reach ``MATCHES``. Pairs that
+   reach it are confirmed on their full sets, and of the links only those that join components leave the task. So no pair is
+   lost, and groups of copies or near misses never give a row for each pair.
 
 A pair at similarity 0.75 has 48 equal coordinates of 64 on average; it falls below 34 with a probability of about 3e-5.
 """
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from stratalog.llm import common
 
 WORDS, PERCENT, COORDS, MATCHES = 5, 75, 64, 34
-#: Classes in a block.
-BLOCK = 128
+#: Classes in a block, and their shingles together: about 2 MB of text, unless one text alone is longer.
+BLOCK, BLOCK_SHINGLES = 128, 300_000
+#: Places of a posting list's order that are probed before pairs out of reach are skipped.
+STRIDE = 8
 
 _RNG = np.random.default_rng(64)
 _PLACES = _RNG.integers(1, 2**63, WORDS + 1, dtype=np.uint64) | np.uint64(1)
@@ -91,6 +95,15 @@ def _prepared(rows: DataFrame) -> DataFrame:
     return common.map_text(rows, "text", kernel, "id long, n long, digest binary, signature array<int>")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted hashes, both with elements, share enough of their union."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     spark = rows.sparkSession
@@ -103,12 +116,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         ids, first, where = np.unique(np.asarray(batch.column("b")), return_index=True, return_inverse=True)
         sets_a, at_a = shingle_sets(batch.column("text_a"))
         sets_b, at_b = shingle_sets(batch.column("text_b").take(pa.array(first)))
-        ok = []
-        for k, j in enumerate(where.tolist()):
-            x, y = sets_a[at_a[k] : at_a[k + 1]], sets_b[at_b[j] : at_b[j + 1]]
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
-            ok.append(len(small) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
+        ok = [similar(sets_a[at_a[k] : at_a[k + 1]], sets_b[at_b[j] : at_b[j + 1]], percent) for k, j in enumerate(where.tolist())]
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return common.written(common.map_text(both, "text_a", kernel, "a long, b long").distinct(), "links")
@@ -133,32 +141,52 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _linked(block_a: dict, block_b: dict, percent: int, cache: dict) -> list[tuple[int, int]]:
-    """Links between the classes of two blocks that join components, by exact intersections."""
+def collisions(keys_a: list[np.ndarray], prefix_a: list[int], keys_b: list[np.ndarray], prefix_b: list[int], matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two sides with at least ``matches`` keys in common, given each one's keys from rare to common and its prefix's length.
+
+    The short lists, those of the prefixes, are merged; the long ones are only searched for the pairs that this gives.
+    """
+    owner_b = np.repeat(np.arange(len(keys_b)), prefix_b)
+    short_b = np.concatenate([k[:n] for k, n in zip(keys_b, prefix_b, strict=True)])
+    order = np.argsort(short_b, kind="stable")
+    owner_b, short_b = owner_b[order], short_b[order]
+    owner_a = np.repeat(np.arange(len(keys_a)), prefix_a)
+    short_a = np.concatenate([k[:n] for k, n in zip(keys_a, prefix_a, strict=True)])
+    low = np.searchsorted(short_b, short_a)
+    runs = np.searchsorted(short_b, short_a, side="right") - low
+    ends = np.cumsum(runs)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - runs - low, runs)
+    pairs = np.unique(np.repeat(owner_a, runs) * len(keys_b) + owner_b[at])
+    i, j = np.divmod(pairs, len(keys_b))
+    # A class and a key in one number: a key takes 38 bits.
+    sizes = np.array([len(k) for k in keys_a])
+    flat_a, start = np.concatenate(keys_a), np.cumsum(sizes) - sizes
+    flat_b = np.sort(np.concatenate([k + (np.int64(c) << 38) for c, k in enumerate(keys_b)]))
+    count = np.zeros(len(i), np.int64)
+    for first in range(0, int(sizes.max(initial=0)), STRIDE):
+        for place in range(first, first + STRIDE):
+            there = place < sizes[i]
+            wanted = flat_a[start[i[there]] + place] + (j[there] << 38)
+            count[there] += flat_b[np.minimum(np.searchsorted(flat_b, wanted), len(flat_b) - 1)] == wanted
+        within = count + np.maximum(sizes[i] - first - STRIDE, 0) >= matches
+        i, j, count = i[within], j[within], count[within]
+    return i, j
+
+
+def _linked(block_a: dict, block_b: dict, percent: int, matches: int, cache: dict) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks that join components."""
 
     def loaded(block: dict) -> tuple:
         if block["block"] not in cache:
             while len(cache) > 3:
                 cache.pop(next(iter(cache)))
-            sets, bounds = shingle_sets(pa.array([m["text"] for m in block["members"]], pa.string()))
-            cache[block["block"]] = sets, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.diff(bounds), [m["rep"] for m in block["members"]], [m["component"] for m in block["members"]]
+            members = block["members"]
+            sets, bounds = shingle_sets(pa.array([m["text"] for m in members], pa.string()))
+            keys = [np.array(m["keys"], np.int64) for m in members], [m["prefix"] for m in members]
+            cache[block["block"]] = [sets[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], keys, [m["rep"] for m in members], [m["component"] for m in members]
         return cache[block["block"]]
 
-    (sa, ra, na, ids_a, ca), (sb, rb, nb, ids_b, cb) = loaded(block_a), loaded(block_b)
-    common_ = np.intersect1d(sa, sb)
-    same = np.zeros((len(na), len(nb)))
-    for first in range(0, len(common_), 4096):
-        part = common_[first : first + 4096]
-
-        def matrix(sets: np.ndarray, owner: np.ndarray, n: int, part: np.ndarray = part) -> np.ndarray:
-            at = np.minimum(np.searchsorted(part, sets), len(part) - 1)
-            hit = part[at] == sets
-            out = np.zeros((n, len(part)), np.float32)
-            out[owner[hit], at[hit]] = 1
-            return out
-
-        same += matrix(sa, ra, len(na)) @ matrix(sb, rb, len(nb)).T
-    union = na[:, None] + nb[None, :] - same
+    (sets_a, keys_a, ids_a, ca), (sets_b, keys_b, ids_b, cb) = loaded(block_a), loaded(block_b)
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -167,15 +195,15 @@ def _linked(block_a: dict, block_b: dict, percent: int, cache: dict) -> list[tup
         return x
 
     out = []
-    for i, j in zip(*np.nonzero((same > 0) & (100 * same >= percent * union)), strict=True):
+    for i, j in zip(*(x.tolist() for x in collisions(*keys_a, *keys_b, matches)), strict=True):
         x, y = root(ca[i]), root(cb[j])
-        if x != y:
+        if x != y and similar(sets_a[i], sets_b[j], percent):
             up[x] = y
             out.append((ids_a[i], ids_b[j]))
     return out
 
 
-def _between(prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, size: int = BLOCK) -> DataFrame:
+def _between(own: DataFrame, prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, matches: int, size: int) -> DataFrame:
     """Links (a, b) between classes of different components that share a list."""
     spark = rows.sparkSession
     placed = prefixes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
@@ -186,7 +214,8 @@ def _between(prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: Da
     members = common.written(among.groupBy("rep", "component").agg(F.max(F.struct("hub_shared", "hub")).alias("h")).select("rep", "component", F.col("h.hub").alias("anchor")), "members")
     large = members.groupBy("component").agg(F.count("*").alias("classes")).filter(F.col("classes") * 2 >= size)
     pool = common.written(members.join(large, "component", "left").withColumn("pool", F.when(F.col("classes").isNotNull(), F.concat(F.lit("c"), "component")).otherwise(F.concat(F.lit("h"), "anchor"))), "pool")
-    counts = pool.groupBy("pool").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    pool = pool.join(own.select("rep", "n"), "rep")
+    counts = pool.groupBy("pool").agg(F.ceil(F.greatest(F.count("*") / size, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     dealt_by = F.when(F.col("classes").isNotNull(), F.col("rep")).otherwise(F.col("component"))
     blocks = common.written(pool.join(counts, "pool").select("rep", "component", F.concat_ws(":", "pool", F.pmod(F.xxhash64(dealt_by), F.col("blocks"))).alias("block")), "block-of")
     listed = among.select("rep", "key").join(blocks, "rep").groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -195,7 +224,8 @@ def _between(prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: Da
     met = side("a").join(side("b"), "key").filter("block_a <= block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)").select("block_a", "block_b").distinct()
     met = common.written(met, "met")
     texts = rows.filter(F.col("id").isNotNull()).select(F.col("id").alias("rep"), "text")
-    filled = blocks.join(texts, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "text")).alias("members"))
+    one_each = blocks.join(texts, "rep").dropDuplicates(["rep"]).join(own.select("rep", "keys", "prefix"), "rep")
+    filled = one_each.groupBy("block").agg(F.collect_list(F.struct("rep", "component", "keys", "prefix", "text")).alias("members"))
     filled = common.written(filled, "blocks")
     half = lambda x: filled.select(F.col("block").alias(f"block_{x}"), F.struct("block", "members").alias(x))
     both = met.join(half("a"), "block_a").join(half("b"), "block_b").select("a", "b")
@@ -203,7 +233,7 @@ def _between(prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: Da
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            found = [link for k in range(batch.num_rows) for link in _linked(batch.column("a")[k].as_py(), batch.column("b")[k].as_py(), percent, cache)]
+            found = [link for k in range(batch.num_rows) for link in _linked(batch.column("a")[k].as_py(), batch.column("b")[k].as_py(), percent, matches, cache)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -215,13 +245,13 @@ def _between(prefixes: DataFrame, hub_of: DataFrame, labels: DataFrame, rows: Da
         conf.set(key, before)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
     """One row per row: ``id_col``, n_shingles, component_id, kept.
 
     Null text counts as empty. A document without words has no shingle, is its own component and stays. With fewer than
     five words the whole sequence is the only shingle. Repeated rows share a component; an id should not stand for different
     texts. Rows of null id join their class's component and are kept only if they have no component. An empty table gives
-    no row.
+    no row. ``block`` bounds the classes that a task compares with so many others at once; the result does not depend on it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prepared = common.written(_prepared(rows), "signatures")
@@ -233,8 +263,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = common.written(posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
     own = posted.join(lists, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("list"), F.sum("df").alias("shared"))
     # Unshared values come first in the order, so they take places of the prefix.
-    own = own.filter(F.size("list") >= matches).withColumn("list", F.expr(f"slice(list, 1, greatest(0, {COORDS - matches + 1} - ({COORDS} - size(list))))"))
-    prefixes = common.written(own.select("rep", "n", "shared", F.explode("list").alias("p")).select("rep", "n", "shared", "p.key"), "prefixes")
+    own = own.filter(F.size("list") >= matches).select("rep", "n", "shared", F.col("list.key").alias("keys"), F.expr(f"greatest(0, {COORDS - matches + 1} - ({COORDS} - size(list)))").alias("prefix"))
+    own = common.written(own, "keys")
+    prefixes = own.select("rep", "n", "shared", F.explode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("key"))
     central = prefixes.groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.shared").alias("hub_shared"))
     hub_of = common.written(central, "hubs")
 
@@ -248,7 +279,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubs = counted(prefixes.join(hub_of, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     links = _confirmed(hubs.select("a", "b"), rows, percent)
     labels = components(links)
-    labels = components(links.union(_between(prefixes, hub_of, labels, rows, percent)))
+    labels = components(links.union(_between(own, prefixes, hub_of, labels, rows, percent, matches, block)))
     of_class = common.written(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "members")
     found = prepared.select("id", "n", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "id")

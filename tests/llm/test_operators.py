@@ -119,6 +119,45 @@ def test_near_dedup_links_beyond_the_hub(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_near_dedup_in_many_blocks(spark):
+    """Chains that branch and share passages: lists far longer than a block, components larger than one, repeated rows."""
+    r = random.Random(7)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for chain in range(6):
+        words = shared + [f"c{chain}x{r.randint(0, 10**6)}" for _ in range(80)]
+        for k in range(25):
+            words = list(words)
+            words[(37 * k) % 140] = f"n{chain if k % 5 else 0}x{k}"
+            rows.append((r.randint(0, 10**9), " ".join(words)))
+    rows += rows[:3]
+    _, want = brute_components(rows)
+    assert len(set(want.values())) < len(want)
+    for block in (5, 128):
+        got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
+
+
+def test_collisions():
+    r = random.Random(5)
+    every = [(c << 32) | r.getrandbits(32) for c in range(64) for _ in range(3)]
+    for least in (5, 34, 60):
+        df = {}
+        sides = []
+        for n in (9, 40):
+            base = [r.sample([k for k in every if k >> 32 == c], 1)[0] for c in range(64)]
+            side = [[k if r.random() < 0.75 else r.choice([x for x in every if x >> 32 == k >> 32]) for k in base] for _ in range(n)]
+            sides.append(side)
+            for one in side:
+                for k in one:
+                    df[k] = df.get(k, 0) + 1
+        ordered = [[np.array(sorted((k for k in one if df[k] > 1), key=lambda k: (df[k], k)), np.int64) for one in side] for side in sides]
+        cut = [[max(0, 64 - least + 1 - (64 - len(k))) for k in side] for side in ordered]
+        for x, y in itertools.product((0, 1), repeat=2):
+            i, j = near_dedup.collisions(ordered[x], cut[x], ordered[y], cut[y], least)
+            assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(len(sides[x])) for b in range(len(sides[y])) if len(set(sides[x][a]) & set(sides[y][b])) >= least}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 430)]
