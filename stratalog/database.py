@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from stratalog.lang import parser
 from stratalog.lang.ast import Const, Program, Var
 from stratalog.lang.errors import NoFixpoint, ProgramError, UnknownName
 from stratalog.operators.derivation import Derivation
-from stratalog.operators.relation import Relation, fact_id
+from stratalog.operators.relation import PARTS, Relation, fact_id
 from stratalog.operators.supports import PREMISE, Supports, _group_key
 from stratalog.plans.ir import Body, Bound, RuleIr, analyse
 from stratalog.plans.lower import Lowering
@@ -45,11 +46,13 @@ class Database:
         self._check_names(folds)
         closed = {c.predicate.name for r in self.ir.rules.values() for c in r.body.clauses if c.circumscribed}
         self.tracked = bool(closed) or provenance
-        self.relations = {n: Relation(spark, p, self.types, folds, self.tracked) for n, p in self.ir.predicates.items()}
+        cited = {c.predicate.name for r in self.ir.rules.values() for c in r.body.clauses if not c.circumscribed}
+        self.relations = {n: Relation(spark, p, self.types, folds, self.tracked, n in cited) for n, p in self.ir.predicates.items()}
         self.supports = Supports(spark, self.relations, closed) if self.tracked else None
         #: For each rule and clause: the version of the predicate that it has seen, and that view if its columns are folded.
         self._seen: dict[tuple[str, int], tuple[int, DataFrame | None]] = {}
-        self._told: dict[str, DataFrame] = {}
+        #: What each incremental query has returned, in parts.
+        self._told: dict[str, list[DataFrame]] = {}
 
     @classmethod
     def from_files(cls, spark: SparkSession, *paths: str, **options: Any) -> Database:
@@ -72,12 +75,12 @@ class Database:
 
     # Facts
 
-    def _relation(self, pred: str) -> Relation:
+    def relation(self, pred: str) -> Relation:
         return self.relations[pred] if pred in self.relations else next(r for n, r in self.relations.items() if n.lower() == pred.lower())
 
     def insert(self, pred: str, data: Any, mapping: dict[str, str | Column] | None = None) -> DataFrame:
         """Adds base facts (equal ones once) and returns them with their ids in column ``fid``."""
-        r = self._relation(pred)
+        r = self.relation(pred)
         self.lowering.keys.pop(r.pred.name, None)
         rows = written(as_facts(self.spark, r.pred, data, self.types, mapping))
         new = r.add(rows, True)
@@ -101,7 +104,7 @@ class Database:
         ``key`` names fields that no two rows share and that are never null. The caller answers for it: such rows are not
         deduplicated before joins, and joins on these fields are by plain equality.
         """
-        r = self._relation(pred)
+        r = self.relation(pred)
         if r.version or self.tracked:
             self.lowering.keys.pop(r.pred.name, None)
             self.insert(pred, table, mapping)
@@ -112,29 +115,29 @@ class Database:
 
     def facts(self, pred: str) -> DataFrame:
         """Raw facts of a predicate, before folding."""
-        r = self._relation(pred)
+        r = self.relation(pred)
         return r.facts.select(*r.names)
 
     def rows(self, pred: str) -> DataFrame:
         """Current rows of a predicate: folded if it has folded columns."""
-        r = self._relation(pred)
+        r = self.relation(pred)
         return r.view().select(*r.names)
 
     def find(self, pred: str, fact: Any) -> DataFrame:
         """The facts equal to the given ones, with their ids; null equals null."""
-        r = self._relation(pred)
+        r = self.relation(pred)
         wanted = as_facts(self.spark, r.pred, fact, self.types)
         return r.facts.select(*r.names).intersect(wanted).select("*", fact_id(r.names).alias("fid"))
 
     def get(self, pred: str, fid: str) -> DataFrame:
-        r = self._relation(pred)
+        r = self.relation(pred)
         return r.facts.select(*r.names, fact_id(r.names).alias("fid")).filter(F.col("fid") == fid)
 
     def size(self, pred: str) -> int:
-        return self._relation(pred).facts.count()
+        return self.relation(pred).facts.count()
 
     def arity(self, pred: str) -> int:
-        return len(self._relation(pred).names)
+        return len(self.relation(pred).names)
 
     def any_facts(self) -> DataFrame:
         """All facts as (predicate, fid, fact): the fact as JSON."""
@@ -165,11 +168,13 @@ class Database:
         """Bindings that this call has not returned before. Retracted bindings are not reported."""
         name, body = self._body(name)
         rows = self._new_bindings(f"?{name}", body)
-        told = self._told.get(name)
         if rows is None:
             return self.query(name).limit(0)
-        new = written(rows if told is None else rows.subtract(told))
-        self._told[name] = new if told is None else written(told.union(new))
+        told = self._told.setdefault(name, [])
+        if len(told) > PARTS:
+            told[:] = [written(reduce(DataFrame.union, told))]
+        new = written(rows.subtract(reduce(DataFrame.union, told)) if told else rows)
+        told.append(new)
         return new
 
     def _view(self, c: Bound) -> DataFrame:
@@ -329,7 +334,7 @@ class Database:
         """All derivations of a predicate's facts: fid, rule, premises; base facts have no rule."""
         if not self.tracked:
             raise ProgramError("the database was made without provenance")
-        r = self._relation(pred)
+        r = self.relation(pred)
         base = r.facts.filter("_base").select(F.col("_fid").alias("fid"), F.lit(None).cast("string").alias("rule"), F.array().cast(f"array<{PREMISE}>").alias("premises"))
         return base.union(self.supports.rows.filter(F.col("pred") == r.pred.name).select("fid", "rule", "premises"))
 
@@ -337,7 +342,7 @@ class Database:
         """A proof of least depth of one fact, cut at ``depth`` rules; None for what is no fact."""
         if not self.tracked:
             raise ProgramError("the database was made without provenance")
-        r = self._relation(pred)
+        r = self.relation(pred)
         found = self.find(pred, fact).select("fid").head(1)
         if not found:
             return None

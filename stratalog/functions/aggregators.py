@@ -31,7 +31,7 @@ BUILTIN: dict[str, Builtin] = {
     "sum": Builtin(F.sum), "min": Builtin(F.min), "max": Builtin(F.max), "or": Builtin(F.bool_or), "and": Builtin(F.bool_and),
     "bit_or": Builtin(F.bit_or), "bit_and": Builtin(F.bit_and), "bit_xor": Builtin(F.bit_xor),
     "sorted_concat": Builtin(lambda c: F.array_sort(F.flatten(F.collect_list(c)))),
-    "set_union": Builtin(lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))),
+    "set_union": Builtin(lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))),
 }
 
 

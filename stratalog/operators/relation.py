@@ -22,8 +22,9 @@ def fact_id(columns: list[str]) -> Column:
 class Relation:
     """Distinct facts, grown by sets of new ones. Rows have the fields' columns, and with ``tracked`` also _fid and _base."""
 
-    def __init__(self, spark: SparkSession, pred: Predicate, types: Types, aggregators: dict[str, Builtin | Folded], tracked: bool):
-        self.spark, self.pred, self.tracked = spark, pred, tracked
+    def __init__(self, spark: SparkSession, pred: Predicate, types: Types, aggregators: dict[str, Builtin | Folded], tracked: bool, cited: bool = True):
+        """``cited``: some rule rests on single facts of a group, so that the view has to list them."""
+        self.spark, self.pred, self.tracked, self.cited = spark, pred, tracked, cited
         self.names = [n for n, _ in pred.fields]
         self.kinds = [(n, types.spark(f.type)) for n, f in pred.fields]
         self.folds = {n: (aggregators[f.agg], types.spark(f.type)) for n, f in pred.fields if f.agg}
@@ -69,7 +70,8 @@ class Relation:
     def view(self) -> DataFrame:
         """Current rows: the facts, or one row for each group with its folded columns.
 
-        With tracking: _fids (supporting facts), _key (group) and _sig (exact set of the group's facts, by mergeable hashes).
+        With tracking: _fids (supporting facts; without ``cited`` none of a group), _key (group) and _sig (exact set of the
+        group's facts, by hashes that are merged, so that its size does not grow with the group).
         """
         if self._view and self._view[0] == self.version:
             return self._view[1]
@@ -77,7 +79,8 @@ class Relation:
             key = fact_id(self.keys) if self.keys else F.lit("")
             if self.folds:
                 h = F.xxhash64("_fid")
-                more = {"_fids": F.array_sort(F.collect_set("_fid")), "_sig": F.concat_ws(":", F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")))}
+                fids = F.array_sort(F.collect_set("_fid")) if self.cited else F.first(F.array().cast("array<string>"))
+                more = {"_fids": fids, "_sig": F.concat_ws(":", F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")))}
                 out = folded(self.facts, self.keys, self.folds, more).withColumn("_key", key)
             else:
                 out = self.facts.select(*self.names, F.array("_fid").alias("_fids"), F.col("_fid").alias("_sig"), F.col("_fid").alias("_key"))

@@ -350,3 +350,35 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen[-1] == 9 and db.ask("clique")
+    again = Database(spark, CLIQUE, constants={"ZERO": 0, "END": 2})
+    q = feed(again, "edge", stream, str(tmp_path / "ck"), {"arg0": "a", "arg1": "b"})
+    q.processAllAvailable()
+    assert again.size("edge") == 3 and again.size("reachable") == 9
+    spark.createDataFrame([(0, 3)], "a long, b long").write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert again.size("edge") == 4 and again.size("reachable") == 12
+
+
+def test_closed_groups_keep_no_list_of_facts(spark):
+    text = "In{k: i64, x: i64^sum}\nLoud{k: i64}\n?q: Loud{k: k}\nloud: Loud{k: k} <- ~In{k: k, x: ~(3)}\n"
+    db = Database(spark, text)
+    db.insert("In", [{"k": 1, "x": 1}, {"k": 1, "x": 2}, {"k": 2, "x": 3}])
+    db.run_rules()
+    assert values(db.query("q")) == [(1,), (2,)]
+    assert all(r["_fids"] == [] for r in db.relation("In").view().collect())
+    db.insert("In", [{"k": 1, "x": 5}])
+    db.run_rules()
+    assert values(db.query("q")) == [(2,)]
+    proof = db.derivation("Loud", {"k": 2})
+    assert proof.rule == "loud" and len(proof.premises) == 1
+
+
+def test_incremental_query_over_many_calls(spark):
+    db = Database(spark, "P(i64)\nQ(i64)\n?q: P(x) & Q(_)\n")
+    db.insert("Q", [1])
+    for k in range(15):
+        db.insert("P", [k, k + 1])
+        assert values(db.query_incr("q")) == ([(0,), (1,)] if k == 0 else [(k + 1,)])
+    db.insert("Q", [2])
+    assert values(db.query_incr("q")) == []
