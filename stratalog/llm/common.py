@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,20 @@ from stratalog.sources.shared import written  # noqa: F401  the operators take i
 BATCH_ROWS, KERNEL_BYTES = 256, 2 << 20
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what is run inside, afterwards as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts do not fill a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -107,8 +107,6 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     spark = rows.sparkSession
-    # Lets Spark test the texts' ids against a Bloom filter of the pairs' ids, of bounded size, before it moves texts.
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     texts = rows.filter(F.col("id").isNotNull())
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -119,7 +117,9 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         ok = [similar(sets_a[at_a[k] : at_a[k + 1]], sets_b[at_b[j] : at_b[j + 1]], percent) for k, j in enumerate(where.tolist())]
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return common.written(common.map_text(both, "text_a", kernel, "a long, b long").distinct(), "links")
+    # Lets Spark test the texts' ids against a Bloom filter of the pairs' ids, of bounded size, before it moves texts.
+    with common.setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0"):
+        return common.written(common.map_text(both, "text_a", kernel, "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,13 +236,8 @@ def _between(own: DataFrame, prefixes: DataFrame, hub_of: DataFrame, labels: Dat
             found = [link for k in range(batch.num_rows) for link in _linked(batch.column("a")[k].as_py(), batch.column("b")[k].as_py(), percent, matches, cache)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, "4")  # a row holds two blocks
-    try:
+    with common.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # a row holds two blocks
         return common.written(both.mapInArrow(kernel, "a long, b long"), "links")
-    finally:
-        conf.set(key, before)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
