@@ -39,6 +39,7 @@ GROUP_CHARS = 16 << 20
 MARK = "▁"
 #: When what is never merged away is merged, and when what can't be merged is.
 _END, _NEVER = 1 << 30, (1 << 31) - 1
+_NONE = "CAST(array() AS array<int>)"
 
 
 class Model:
@@ -166,11 +167,11 @@ def encode_words(words: DataFrame, path: str, each: int = WORDS_EACH) -> DataFra
     spark, m = words.sparkSession, model(path)
     most = max(map(len, m.ids))
     parts = max(common.partitions(spark), -(-words.count() // each))
-    # Edges of a word are made next to each other, so the sort by its number finds them in order.
+    # Edges of a word are made next to each other and in the order of its lattice, so both sorts, by its number and inside it, find them in order.
     dealt = words.select("word", "n").repartition(parts, "word")
     numbered = dealt.select(F.monotonically_increasing_id().alias("w"), "word", "n", F.char_length("word").alias("size"))
-    starts = numbered.select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
-    spans = starts.select("w", "word", "n", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {most}, size))")).alias("e")).withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
+    ends = numbered.select("w", "word", "n", F.explode(F.expr("sequence(1, size)")).alias("e"))
+    spans = ends.select("*", F.explode(F.expr(f"sequence(greatest(0, e - {most}), e - 1)")).alias("s")).withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
     edges = spans.join(F.broadcast(piece_table(spark, path)), "piece", "left").filter("id IS NOT NULL OR e = s + 1")
     # An edge in one number (end, start, id; no id for a character without a piece), and its merges.
     edge = F.struct(F.expr("shiftleft(CAST(e AS bigint), 40) + shiftleft(CAST(s AS bigint), 24) + coalesce(id, 16777215L)").alias("k"), F.coalesce("merges", F.array(F.lit(_END), F.lit(_END))).alias("m"))
@@ -178,15 +179,19 @@ def encode_words(words: DataFrame, path: str, each: int = WORDS_EACH) -> DataFra
     unpacked = "transform(g, (x, n) -> named_struct('n', n, 'e', CAST(shiftright(x.k, 40) AS int), 's', CAST(shiftright(x.k, 24) & 65535 AS int), 'id', CAST(x.k & 16777215 AS int), 'm', x.m))"
     # ``done`` holds for each place up to now the number of the best path's last edge. Edge a before it and edge b are barred if
     # an edge c over their border could be merged before the part of a, and no later than the part of b, that it takes is merged.
-    a, over = "get(z.g, get(done, b.s - 1))", "get(c.m, 2 * (c.e - c.s) + b.s - c.s - 1)"
-    barred = f"exists(z.h, c -> c.s < b.s AND c.e > b.s AND c.e <= b.e AND {a}.s <= c.s AND {over} < get({a}.m, b.s - {a}.s + b.s - c.s - 1) AND {over} <= get(b.m, c.e - b.s - 1))"
-    done = f"aggregate(z.g, CAST(array() AS array<int>), (done, b) -> IF(size(done) >= b.e OR b.s > 0 AND {barred}, done, concat(done, array(b.n))))"
-    # Back from the last place: the edges of its path.
-    path = "aggregate(reverse(sequence(1, size(y.done))), CAST(array() AS array<int>), (path, e) -> IF(size(path) = 0 OR get(y.g, get(path, 0)).s = e, concat(array(get(y.done, e - 1)), path), path))"
+    a, over = "get(g, get(done, b.s - 1))", "get(c.m, 2 * (c.e - c.s) + b.s - c.s - 1)"
+    barred = f"exists(h, c -> c.s < b.s AND c.e > b.s AND c.e <= b.e AND {a}.s <= c.s AND {over} < get({a}.m, b.s - {a}.s + b.s - c.s - 1) AND {over} <= get(b.m, c.e - b.s - 1))"
     as_bytes = f"transform(sequence(1, octet_length(substring(word, t.e, 1))), k -> CAST(conv(substring(hex(encode(substring(word, t.e, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + {m.first_byte})"
-    ids = f"flatten(transform(transform({path}, k -> get(y.g, k)), t -> IF(t.id < 16777215, array(t.id), {as_bytes})))"
-    folded = f"get(transform(transform(transform(array({unpacked}), g -> named_struct('g', g, 'h', filter(g, c -> c.e > c.s + 1))), z -> named_struct('g', z.g, 'done', {done})), y -> {ids}), 0)"
-    return lattice.select("word", "n", F.expr(folded).alias("ids"))
+    # Back from the last place: the ids of the edges of its path; ``at`` is where the next one ends.
+    before = _let("t", "get(g, d)", f"named_struct('at', t.s, 'ids', concat(IF(t.id < 16777215, array(t.id), {as_bytes}), y.ids))")
+    ids = f"aggregate(reverse(done), named_struct('at', size(done), 'ids', {_NONE}), (y, d) -> IF(get(g, d).e = y.at, {before}, y), y -> y.ids)"
+    folded = f"aggregate(g, {_NONE}, (done, b) -> IF(size(done) >= b.e OR b.s > 0 AND {barred}, done, concat(done, array(b.n))), done -> {ids})"
+    return lattice.select("word", "n", F.expr(_let("g", unpacked, _let("h", "filter(g, c -> c.e > c.s + 1)", folded))).alias("ids"))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with a name for ``value``, by the end of a fold over nothing: ``transform`` over an array of one would copy the value."""
+    return f"aggregate({_NONE}, {value}, ({name}, _) -> {name}, {name} -> {body})"
 
 
 def whole_word(word: str, sp: sentencepiece.SentencePieceProcessor) -> list[int]:

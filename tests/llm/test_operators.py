@@ -401,6 +401,14 @@ def test_pieces_are_the_library(docs, rows, empty):
     assert pieces.encode_texts(empty, PIECES).count() == 0
 
 
+def test_fold_copies_no_lattice(docs):
+    words = [" ofthaninti", " itretitionat", "Schachge", " elíadoes", " 😀", "x" * 200, " a", "ß"]
+    got = pieces.encode_words(docs.sparkSession.createDataFrame([(w, 1) for w in words], "word string, n long"), PIECES)
+    # A transform over an array of one copies what is in it: each word's edges with all their arrays, once for each step of the fold.
+    assert "transform(array(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["word"]: r["ids"] for r in got.collect()} == {w: pieces.whole_word(w, pieces.model(PIECES).library) for w in words}
+
+
 class Leaves(HTMLParser):
     """The leaf blocks of a well-formed page by the standard library's reader."""
 
